@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from neurolake.llm import _frames
 
-#: pairs of a run this long are compared directly; longer runs are first cut by further blocks
-DIRECT_RUN = 64
-#: and runs over this by a finer cut
-FINE_RUN = 4096
+#: pairs of runs up to this length are compared by shifts of all runs at once, of longer ones by tiles of each
+SHIFT_RUN = 400
+#: runs over this are first cut by further blocks of the other bits
+FINE_RUN = 16_384
+#: fingerprints compared with a whole run at once
+TILE = 64
 
 
 class Forest:
@@ -35,6 +37,15 @@ class Forest:
             x = up[x]
         return int(x)
 
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        at = self.up[x]
+        while True:
+            above = self.up[at]
+            if np.array_equal(above, at):
+                self.up[x] = at
+                return at
+            at = above
+
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         """Adds links; whole arrays at a time by repeated minimum and pointer jumping."""
         up = self.up
@@ -62,13 +73,13 @@ def planes_of(fp: np.ndarray) -> np.ndarray:
 def within(planes: np.ndarray, others: np.ndarray, radius: int, out: np.ndarray) -> np.ndarray | None:
     """Packed mask of the positions whose distance is at most radius (0 to 3); None once all exceed it.
 
-    out: packed mask of positions that are not to be compared.
-
-    A carry-save counter of two bits and an overflow bit stands for every position; after each eight planes the
-    block is abandoned if no position is left within the radius.
+    planes, others: bit planes along the first axis, of shapes that broadcast. out: packed mask of positions that are not
+    to be compared. A carry-save counter of two bits and an overflow bit stands for every position; after each eight planes
+    the block is abandoned if no position is left within the radius.
     """
-    ones = np.zeros(planes.shape[1], np.uint8)
-    twos, over = np.zeros_like(ones), out.copy()
+    over = out.copy()
+    ones = np.zeros_like(over)
+    twos = np.zeros_like(over)
     for j in range(64):
         x = planes[j] ^ others[j]
         carry = ones & x
@@ -88,32 +99,45 @@ def within(planes: np.ndarray, others: np.ndarray, radius: int, out: np.ndarray)
 
 
 def run_links(fp: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius among fingerprints of the same run; runs are contiguous. All pairs are compared, shift by shift."""
-    if len(fp) > 1:
-        size = np.bincount(run)[run]
-        small = size <= 8
-        for part in (small, ~small):
-            at = np.flatnonzero(part)
-            if len(at) < 2:
-                continue
-            f, r = fp[at], run[at]
-            longest = int(size[at].max())
-            shifted = [planes_of(f[k:]) for k in range(min(8, longest))]
-            for s in range(1, longest):
-                n = len(f) - s
-                if n <= 0:
-                    break
-                same = r[:n] == r[s:]
-                if not same.any():
-                    break
-                q, k = divmod(s, 8)
-                m = (n + 7) // 8
-                near = within(shifted[0][:, :m], shifted[k][:, q : q + m], radius, ~np.packbits(same, bitorder="little"))
-                if near is None:
-                    continue
+    """Index pairs within the radius among fingerprints of the same run; runs are contiguous and numbered from 0. All pairs are compared."""
+    if len(fp) < 2:
+        return
+    length = np.bincount(run)
+    size = length[run]
+    for least, most in ((2, 8), (9, 48), (49, SHIFT_RUN)):
+        at = np.flatnonzero((size >= least) & (size <= most))
+        if len(at) < 2:
+            continue
+        f, r = fp[at], run[at]
+        shifted = [planes_of(f[k:]) for k in range(8)]
+        for s in range(1, int(size[at].max())):
+            n = len(f) - s
+            same = r[:n] == r[s:]
+            if not same.any():
+                break
+            q, k = divmod(s, 8)
+            m = (n + 7) // 8
+            near = within(shifted[0][:, :m], shifted[k][:, q : q + m], radius, ~np.packbits(same, bitorder="little"))
+            if near is not None:
                 hit = np.flatnonzero(np.unpackbits(near, count=n, bitorder="little"))
-                if len(hit):
-                    yield at[hit], at[hit + s]
+                yield at[hit], at[hit + s]
+    first = np.concatenate([[0], np.cumsum(length)])
+    for r in np.flatnonzero(length > SHIFT_RUN).tolist():
+        f = fp[first[r] : first[r + 1]]
+        planes = planes_of(f)
+        for q in range(0, len(f), TILE):
+            asked = f[q : q + TILE]
+            bits = np.unpackbits(asked.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T * np.uint8(255)
+            # a tile's own fingerprints and those before it are left to the pairs with a smaller first index
+            lane = q // 8
+            n = len(f) - 8 * lane
+            out = np.zeros((len(asked), planes.shape[1] - lane), np.uint8)
+            out[:, -1] = ~np.packbits(np.ones(n - 8 * (out.shape[1] - 1), bool), bitorder="little")[0]
+            near = within(planes[:, None, lane:], bits[:, :, None], radius, out)
+            if near is not None:
+                i, j = np.nonzero(np.unpackbits(near, axis=1, count=n, bitorder="little"))
+                later = j + 8 * lane > i + q
+                yield first[r] + q + i[later], first[r] + 8 * lane + j[later]
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -146,20 +170,14 @@ def bucket_links(fp: np.ndarray, block: int, radius: int = 3) -> tuple[np.ndarra
         for a, b in run_links(fp[at], runs, radius):
             forest.join(at[a], at[b])
 
-    few = size <= DIRECT_RUN
-    compare(order[few], run[few])
-    for parts, most in ((4, FINE_RUN), (8, 1 << 62)):
-        here = (size > (DIRECT_RUN if parts == 4 else FINE_RUN)) & (size <= most)
-        if not here.any():
-            continue
-        at, outer = order[here], run[here]
-        for sub in _sub_keys(fp[at], block, parts):
+    few = size <= FINE_RUN
+    compare(order[few], np.unique(run[few], return_inverse=True)[1])
+    if not few.all():
+        at, outer = order[~few], run[~few]
+        for sub in _sub_keys(fp[at], block, 8):
             o = np.lexsort((sub, outer))
-            k = np.concatenate([[True], (sub[o][1:] != sub[o][:-1]) | (outer[o][1:] != outer[o][:-1])])
-            r = np.cumsum(k) - 1
-            kept = np.bincount(r)[r] > 1
-            if kept.any():
-                compare(at[o][kept], r[kept])
+            r = np.cumsum(np.concatenate([[True], (sub[o][1:] != sub[o][:-1]) | (outer[o][1:] != outer[o][:-1])])) - 1
+            compare(at[o], r)
     child = np.flatnonzero(forest.up != np.arange(len(fp)))
     return fp[child], fp[forest.up[child]]
 

@@ -113,7 +113,9 @@ def combine(h: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values[first[i]:first[i + 1]]; 0 for empty rows."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    sums = np.cumsum(values)
+    total = np.zeros(len(sums) + 1, sums.dtype)
+    total[1:] = sums
     return total[first[1:]] - total[first[:-1]]
 
 
