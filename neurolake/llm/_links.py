@@ -47,21 +47,12 @@ class Forest:
             at = above
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Adds links; whole arrays at a time by repeated minimum and pointer jumping."""
-        up = self.up
+        """Adds links, whole arrays at a time."""
         while len(a):
-            ra, rb = up[a], up[b]
-            lo, hi = np.minimum(ra, rb), np.maximum(ra, rb)
-            open_ = lo != hi
-            if not open_.any():
-                return
-            a, b = lo[open_], hi[open_]
-            np.minimum.at(up, b, a)
-            while True:
-                jumped = up[up]
-                if np.array_equal(jumped, up):
-                    break
-                up[:] = jumped
+            ra, rb = self.roots(a), self.roots(b)
+            open_ = ra != rb
+            a, b = ra[open_], rb[open_]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:
@@ -109,7 +100,11 @@ def run_links(fp: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tuple[np
         if len(at) < 2:
             continue
         f, r = fp[at], run[at]
-        shifted = [planes_of(f[k:]) for k in range(8)]
+        shifted = [planes_of(f)]
+        for k in range(1, 8):
+            moved = shifted[0] >> np.uint8(k)
+            moved[:, :-1] |= shifted[0][:, 1:] << np.uint8(8 - k)
+            shifted.append(moved)
         for s in range(1, int(size[at].max())):
             n = len(f) - s
             same = r[:n] == r[s:]
@@ -157,7 +152,8 @@ def _sub_keys(fp: np.ndarray, block: int, parts: int) -> Iterator[np.ndarray]:
 
 def bucket_links(fp: np.ndarray, block: int, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (child, root) of the links among distinct fingerprints that agree in the block."""
-    fp = np.unique(fp)
+    fp = np.sort(fp)
+    fp = fp[np.concatenate([[True], fp[1:] != fp[:-1]])] if len(fp) else fp
     if len(fp) < 2:
         return fp[:0], fp[:0]
     forest = Forest(len(fp))
@@ -178,8 +174,9 @@ def bucket_links(fp: np.ndarray, block: int, radius: int = 3) -> tuple[np.ndarra
             o = np.lexsort((sub, outer))
             r = np.cumsum(np.concatenate([[True], (sub[o][1:] != sub[o][:-1]) | (outer[o][1:] != outer[o][:-1])])) - 1
             compare(at[o], r)
-    child = np.flatnonzero(forest.up != np.arange(len(fp)))
-    return fp[child], fp[forest.up[child]]
+    root = forest.roots(np.arange(len(fp)))
+    child = np.flatnonzero(root != np.arange(len(fp)))
+    return fp[child], fp[root[child]]
 
 
 def hamming_links(fps: DataFrame, radius: int = 3, buckets: int | None = None) -> DataFrame:
