@@ -61,36 +61,53 @@ def planes_of(fp: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
 
 
-def within(planes: np.ndarray, others: np.ndarray, radius: int, out: np.ndarray) -> np.ndarray | None:
-    """Packed mask of the positions whose distance is at most radius (0 to 3); None once all exceed it.
+def within(planes: np.ndarray, others: np.ndarray, radius: int, out: np.ndarray, skip: int = -1) -> np.ndarray | None:
+    """Packed mask of the positions whose distance is at most radius (0 to 3); None if there is none.
 
-    planes, others: bit planes along the first axis, of shapes that broadcast. out: packed mask of positions that are not
-    to be compared. A carry-save counter of two bits and an overflow bit stands for every position; after each eight planes
-    the block is abandoned if no position is left within the radius.
+    planes, others: bit planes along the first axis, (64, 1 or q, m) and (64, q, 1 or m). out: packed (q, m) mask of positions that
+    are not to be compared; skip: a 16-bit block in which all agree. A carry-save counter of two bits and an overflow bit stands
+    for every position. Blocks of eight positions are abandoned once all of them exceed the radius: after 16 planes, and again
+    after every eight more, only blocks with a position left are carried on.
     """
-    over = out.copy()
-    ones = np.zeros_like(over)
-    twos = np.zeros_like(over)
-    for j in range(64):
-        x = planes[j] ^ others[j]
+    order = [j for j in range(64) if j // 16 != skip]
+    over, ones, twos = out.copy(), np.zeros_like(out), np.zeros_like(out)
+    q = b = None
+    for n, j in enumerate(order, 1):
+        if q is None:
+            x = planes[j] ^ others[j]
+        else:
+            p, o = planes[j], others[j]
+            x = p[q if p.shape[0] > 1 else 0, b] ^ o[q, b if o.shape[1] > 1 else 0]
         carry = ones & x
         ones ^= x
         over |= twos & carry
         twos ^= carry
-        if j & 7 == 7 and over.min() == 255:
-            return None
-    far = over
+        if n % 8 == 0 and n >= 16:
+            left = over != 255
+            alive = np.count_nonzero(left)
+            if not alive:
+                return None
+            if 2 * alive < left.size:
+                if q is None:
+                    q, b = np.nonzero(left)
+                    over, ones, twos = over[left], ones[left], twos[left]
+                else:
+                    q, b, over, ones, twos = q[left], b[left], over[left], ones[left], twos[left]
     if radius == 2:
-        far = far | (ones & twos)
+        over |= ones & twos
     elif radius == 1:
-        far = far | twos
+        over |= twos
     elif radius == 0:
-        far = far | twos | ones
-    return ~far
+        over |= twos | ones
+    if q is None:
+        return ~over
+    near = np.zeros_like(out)
+    near[q, b] = ~over
+    return near
 
 
-def run_links(fp: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius among fingerprints of the same run; runs are contiguous and numbered from 0. All pairs are compared."""
+def run_links(fp: np.ndarray, run: np.ndarray, radius: int, skip: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius among fingerprints of the same run; runs are contiguous and numbered from 0. All pairs are compared. skip: a block in which runs agree."""
     if len(fp) < 2:
         return
     length = np.bincount(run)
@@ -112,9 +129,9 @@ def run_links(fp: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tuple[np
                 break
             q, k = divmod(s, 8)
             m = (n + 7) // 8
-            near = within(shifted[0][:, :m], shifted[k][:, q : q + m], radius, ~np.packbits(same, bitorder="little"))
+            near = within(shifted[0][:, None, :m], shifted[k][:, None, q : q + m], radius, ~np.packbits(same, bitorder="little")[None], skip)
             if near is not None:
-                hit = np.flatnonzero(np.unpackbits(near, count=n, bitorder="little"))
+                hit = np.flatnonzero(np.unpackbits(near[0], count=n, bitorder="little"))
                 yield at[hit], at[hit + s]
     first = np.concatenate([[0], np.cumsum(length)])
     for r in np.flatnonzero(length > SHIFT_RUN).tolist():
@@ -123,16 +140,17 @@ def run_links(fp: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tuple[np
         for q in range(0, len(f), TILE):
             asked = f[q : q + TILE]
             bits = np.unpackbits(asked.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T * np.uint8(255)
-            # a tile's own fingerprints and those before it are left to the pairs with a smaller first index
+            # from the tile on; within it a pair is compared from its smaller index
             lane = q // 8
             n = len(f) - 8 * lane
             out = np.zeros((len(asked), planes.shape[1] - lane), np.uint8)
             out[:, -1] = ~np.packbits(np.ones(n - 8 * (out.shape[1] - 1), bool), bitorder="little")[0]
-            near = within(planes[:, None, lane:], bits[:, :, None], radius, out)
+            square = np.packbits(np.tri(len(asked), dtype=bool), axis=1, bitorder="little")
+            out[:, : square.shape[1]] |= square
+            near = within(planes[:, None, lane:], bits[:, :, None], radius, out, skip)
             if near is not None:
                 i, j = np.nonzero(np.unpackbits(near, axis=1, count=n, bitorder="little"))
-                later = j + 8 * lane > i + q
-                yield first[r] + q + i[later], first[r] + 8 * lane + j[later]
+                yield first[r] + q + i, first[r] + q + j
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -163,7 +181,7 @@ def bucket_links(fp: np.ndarray, block: int, radius: int = 3) -> tuple[np.ndarra
     size = np.bincount(run)[run]
 
     def compare(at: np.ndarray, runs: np.ndarray) -> None:
-        for a, b in run_links(fp[at], runs, radius):
+        for a, b in run_links(fp[at], runs, radius, block):
             forest.join(at[a], at[b])
 
     few = size <= FINE_RUN
