@@ -1,4 +1,4 @@
-"""The queries of the library and their SQL twins."""
+"""The queries of the library over the driver's tables, and their SQL twins."""
 
 from __future__ import annotations
 
@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from neurolake.plans import features, signals, sleeping
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = signals.QUERIES | sleeping.QUERIES | features.QUERIES
+SQL: dict[str, str] = signals.SQL | sleeping.SQL | features.SQL
