@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from neurolake.llm import _frames
 
 #: the pre-split pattern of the vocabulary file is read from it; words kept by a worker in each of two generations
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 
 
 #: white space to Python's str.split, symbols to the vocabulary's pattern
@@ -117,13 +117,13 @@ class MergeAutomaton:
             bound, t = self.born[t], self.left[t]
         return True
 
-    def encode(self, symbols: list[str]) -> list[int]:
-        """The only path whose arcs spell the symbols, longest arcs tried first.
+    def encode(self, text: str, end: str = "") -> list[int]:
+        """The only path whose arcs spell the text, a symbol a character, the last one with the word end; longest arcs tried first.
 
         A prefix has one encoding, so a position is entered once: if no path leads on from it, it is given up for good.
         """
-        n = len(symbols)
-        text, tail = "".join(symbols[:-1]), symbols[-1]
+        n = len(text)
+        text, tail = text[:-1], text[-1] + end
         spelled, state, arc = self.spelled, self.state, self.arc
 
         whole = spelled.get(text + tail, -1)
@@ -181,7 +181,7 @@ class WordBPE:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.split = regex.compile(split)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.symbols = byte_symbols()
+        self.symbols = dict(enumerate(byte_symbols()))
         # two generations, so that frequent words stay
         self.kept: dict[str, tuple[str, str, int]] = {}
         self.old: dict[str, tuple[str, str, int]] = {}
@@ -197,9 +197,9 @@ class WordBPE:
         return text.replace("Σ", "σ").lower()
 
     def word_ids(self, word: str) -> list[int]:
-        symbols = [self.symbols[b] for b in word.encode()]
-        symbols[-1] += self.end
-        return self.automaton.encode(symbols)
+        if not (word.isascii() and word.isprintable()):  # printable ASCII stands for itself
+            word = word.encode().decode("latin-1").translate(self.symbols)
+        return self.automaton.encode(word, self.end)
 
     def word(self, word: str) -> tuple[str, str, int]:
         """(ids in decimal, labels, how many), joined by spaces."""
