@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from neurolake.llm import _frames
 
 #: pairs of runs up to this length are compared by shifts of all runs at once, of longer ones by tiles of each
-SHIFT_RUN = 400
+SHIFT_RUN = 120
 #: runs over this are first cut by further blocks of the other bits
 FINE_RUN = 16_384
 #: fingerprints compared with a whole run at once
@@ -67,11 +67,17 @@ def within(planes: np.ndarray, others: np.ndarray, radius: int, out: np.ndarray,
     planes, others: bit planes along the first axis, (64, 1 or q, m) and (64, q, 1 or m). out: packed (q, m) mask of positions that
     are not to be compared; skip: a 16-bit block in which all agree. A carry-save counter of two bits and an overflow bit stands
     for every position. Blocks of eight positions are abandoned once all of them exceed the radius: after 16 planes, and again
-    after every eight more, only blocks with a position left are carried on.
+    after every eight more, only blocks with a position left are carried on, if they are few.
     """
     order = [j for j in range(64) if j // 16 != skip]
-    over, ones, twos = out.copy(), np.zeros_like(out), np.zeros_like(out)
     q = b = None
+    asked = out != 255
+    if 16 * np.count_nonzero(asked) < asked.size:
+        q, b = np.nonzero(asked)
+        over = out[asked]
+    else:
+        over = out.copy()
+    ones, twos = np.zeros_like(over), np.zeros_like(over)
     for n, j in enumerate(order, 1):
         if q is None:
             x = planes[j] ^ others[j]
@@ -87,7 +93,7 @@ def within(planes: np.ndarray, others: np.ndarray, radius: int, out: np.ndarray,
             alive = np.count_nonzero(left)
             if not alive:
                 return None
-            if 2 * alive < left.size:
+            if 16 * alive < left.size:
                 if q is None:
                     q, b = np.nonzero(left)
                     over, ones, twos = over[left], ones[left], twos[left]
@@ -112,7 +118,7 @@ def run_links(fp: np.ndarray, run: np.ndarray, radius: int, skip: int = -1) -> I
         return
     length = np.bincount(run)
     size = length[run]
-    for least, most in ((2, 8), (9, 48), (49, SHIFT_RUN)):
+    for least, most in ((2, 8), (9, 20), (21, 48), (49, SHIFT_RUN)):
         at = np.flatnonzero((size >= least) & (size <= most))
         if len(at) < 2:
             continue
