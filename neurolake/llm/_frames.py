@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -28,6 +30,13 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trim() -> None:
+    """Hands freed memory of this worker back; a worker lives on for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, materialised in the shared checkpoint folder; survives lost executors."""
     ready(df.sparkSession)
@@ -64,6 +73,7 @@ def add_columns(df: DataFrame, fields: list[tuple[str, str]], fn: Callable[[pa.R
             made = fn(batch)
             names = kept + [n for n, _ in fields]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [made[n] for n, _ in fields], names=names)
+        trim()
 
     assert spark is not None
     return df.mapInArrow(run, schema)

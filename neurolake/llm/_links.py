@@ -243,6 +243,7 @@ def hamming_links(fps: DataFrame, radius: int = 3, buckets: int | None = None) -
         block = group.column("k")[0].as_py() // n
         fp = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("load").to_pylist()])
         a, b = bucket_links(fp, block, radius)
+        _frames.trim()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return fps.select(F.col("fp").cast("long")).mapInArrow(deal, "k int, load binary").groupBy("k").applyInArrow(link, "a long, b long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from neurolake.llm import _frames
 
 #: the pre-split pattern of the vocabulary file is read from it; words kept by a worker in each of two generations
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 
 
 #: white space to Python's str.split, symbols to the vocabulary's pattern
