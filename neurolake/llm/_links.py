@@ -21,7 +21,7 @@ SHIFT_RUN = 120
 #: runs over this are first cut by further blocks of the other bits
 FINE_RUN = 16_384
 #: fingerprints compared with a whole run at once
-TILE = 64
+TILE = 256
 
 
 class Forest:
@@ -70,48 +70,64 @@ def within(planes: np.ndarray, others: np.ndarray, radius: int, out: np.ndarray,
     after every eight more, only blocks with a position left are carried on, if they are few.
     """
     order = [j for j in range(64) if j // 16 != skip]
-    q = b = None
+
+    def differing(js: list[int], q: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """(planes, blocks): where the chosen blocks of eight positions differ."""
+        p, o = planes[js], others[js]
+        return p[:, q if p.shape[1] > 1 else 0, b] ^ o[:, q, b if o.shape[2] > 1 else 0]
+
+    q = b = apart = None
     asked = out != 255
     if 16 * np.count_nonzero(asked) < asked.size:
         q, b = np.nonzero(asked)
-        over = out[asked]
+        over, apart, base = out[asked], differing(order, q, b), 0
     else:
         over = out.copy()
-    ones, twos = np.zeros_like(over), np.zeros_like(over)
+    ones, twos, x, carry = np.zeros_like(over), np.zeros_like(over), np.empty_like(over), np.empty_like(over)
     for n, j in enumerate(order, 1):
-        if q is None:
-            x = planes[j] ^ others[j]
+        if apart is None:
+            np.bitwise_xor(planes[j], others[j], out=x)
         else:
-            p, o = planes[j], others[j]
-            x = p[q if p.shape[0] > 1 else 0, b] ^ o[q, b if o.shape[1] > 1 else 0]
-        carry = ones & x
+            x = apart[n - 1 - base]
+        np.bitwise_and(ones, x, out=carry)
         ones ^= x
-        over |= twos & carry
+        np.bitwise_and(twos, carry, out=x)
+        over |= x
         twos ^= carry
-        if n % 8 == 0 and n >= 16:
+        if n % 8 == 0 and 16 <= n < len(order):
             left = over != 255
             alive = np.count_nonzero(left)
             if not alive:
                 return None
             if 16 * alive < left.size:
-                if q is None:
+                if apart is None:
                     q, b = np.nonzero(left)
-                    over, ones, twos = over[left], ones[left], twos[left]
+                    apart = differing(order[n:], q, b)
                 else:
-                    q, b, over, ones, twos = q[left], b[left], over[left], ones[left], twos[left]
+                    q, b, apart = q[left], b[left], apart[n - base :, left]
+                base = n
+                over, ones, twos = over[left], ones[left], twos[left]
+                carry = np.empty_like(over)
     if radius == 2:
         over |= ones & twos
     elif radius == 1:
         over |= twos
     elif radius == 0:
         over |= twos | ones
-    if q is None:
+    if apart is None:
         return ~over
     near = np.zeros_like(out)
     near[q, b] = ~over
     return near
 
 
+def _set_bits(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every set bit of packed rows; only bytes that hold one are unpacked."""
+    q, b = np.nonzero(packed)
+    i, bit = np.nonzero(np.unpackbits(packed[q, b][:, None], axis=1, bitorder="little"))
+    return q[i], 8 * b[i] + bit
+
+
 def run_links(fp: np.ndarray, run: np.ndarray, radius: int, skip: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the radius among fingerprints of the same run; runs are contiguous and numbered from 0. All pairs are compared. skip: a block in which runs agree."""
     if len(fp) < 2:
@@ -137,7 +153,7 @@ def run_links(fp: np.ndarray, run: np.ndarray, radius: int, skip: int = -1) -> I
             m = (n + 7) // 8
             near = within(shifted[0][:, None, :m], shifted[k][:, None, q : q + m], radius, ~np.packbits(same, bitorder="little")[None], skip)
             if near is not None:
-                hit = np.flatnonzero(np.unpackbits(near[0], count=n, bitorder="little"))
+                hit = _set_bits(near)[1]
                 yield at[hit], at[hit + s]
     first = np.concatenate([[0], np.cumsum(length)])
     for r in np.flatnonzero(length > SHIFT_RUN).tolist():
@@ -155,7 +171,7 @@ def run_links(fp: np.ndarray, run: np.ndarray, radius: int, skip: int = -1) -> I
             out[:, : square.shape[1]] |= square
             near = within(planes[:, None, lane:], bits[:, :, None], radius, out, skip)
             if near is not None:
-                i, j = np.nonzero(np.unpackbits(near, axis=1, count=n, bitorder="little"))
+                i, j = _set_bits(near)
                 yield first[r] + q + i, first[r] + q + j
 
 
