@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from neurolake.operators import classifiers, features
+from neurolake.operators import classifiers, features, training
 from neurolake.plans import sleeping
 from neurolake.sources import tables
 
@@ -209,3 +209,51 @@ def _(s, d):
     h = sleeping.hy(s, d).withColumn("k", F.row_number().over(W.partitionBy("rec").orderBy("start_us")).cast("long"))
     scored = h.select("rec", "k", *[F.when(F.col("annotation") == x, 0.92).otherwise(0.02).alias(x) for x in states])
     return classifiers.markov_decode(scored, ["rec"], "k", states, classifiers.persistent_matrix()).select("rec", "k", "state")
+
+
+def wide(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """Vectors of three classes as a feature matrix of eight columns, five nights."""
+    e = tables.epochs(tables.read(s, d, "embeddings"))
+    cols = [f"x{i}" for i in range(8)]
+    return e.select("rec", (F.col("rec") % 5).alias("night"), (F.col("label") % 3).alias("label"), *[F.col("x")[i].alias(c) for i, c in enumerate(cols)]), cols
+
+
+@query("training_chain")
+def _(s, d):
+    df, cols = wide(s, d)
+    return training.TrainingChain(cols, "label", ["rec"], select=4).fit(df).scores(df, ["night"], "rec")
+
+
+@query("stability_search")
+def _(s, d):
+    states = classifiers.STATES
+    h = sleeping.hy(s, d).withColumn("k", F.row_number().over(W.partitionBy("rec").orderBy("start_us")).cast("long"))
+    scored = h.select("rec", "k", "annotation", *[F.when(F.col("annotation") == x, 0.6).otherwise(0.1).alias(x) for x in states])
+    best, kappa = training.stability_search(scored, ["rec"], "k", states, "annotation", classifiers.default_matrix())
+    return s.createDataFrame([(x, float(b), float(kappa)) for x, b in zip(states, best)], "state string, stability double, kappa double")
+
+
+@query("map_genetic")
+def _(s, d):
+    e, cols = wide(s, d)
+    scale, shift, cost = training.genetic_map(e.where("rec % 2 = 0"), e.where("rec % 2 = 1"), cols[:3], generations=5)
+    return s.createDataFrame([(c, float(k), float(t), cost) for c, k, t in zip(cols, scale, shift)], "feature string, scale double, shift double, cost double")
+
+
+@query("pair_structure")
+def _(s, d):
+    # fitted on the first rows of each class by rec: the model holds all differences of what it is fitted on
+    df, cols = wide(s, d)
+    first = df.withColumn("_n", F.row_number().over(W.partitionBy("label").orderBy("rec"))).where("_n <= 20")
+    groups = df.withColumn("recording", F.floor(F.col("rec") / 50))
+    return training.PairStructure(cols[:2], "label").fit(first).scores(groups, ["recording"], "rec")
+
+
+@query("stimulation_models")
+def _(s, d):
+    freq = F.element_at(F.array(*[F.lit(f) for f in training.STIMULATION_MODELS]), (F.col("rec") % 4 + 1).cast("int"))
+    stage = F.element_at(F.array(*[F.lit(x) for x in classifiers.STATES]), (F.col("label") % 5 + 1).cast("int"))
+    e = tables.epochs(tables.read(s, d, "embeddings")).select("rec", (F.col("rec") % 5).alias("night"), "x", stage.alias("annotation"), freq.alias("freq"), F.lit(1.0).alias("rate"))
+    n = len(e.select("x").head()[0])
+    m = training.StimulationModels(float(n), n, ("rec", "night")).fit(e)
+    return m.scores(e, ["night"], "rec")
