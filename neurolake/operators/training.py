@@ -247,7 +247,14 @@ class TrainingChain:
         self.normalise, self.kernel, self.folds, self.c = normalise, kernel, folds, c
 
     def fit(self, df: DataFrame) -> TrainingChain:
-        rows = df.select(*dict.fromkeys([*self.order, self.label, *self.columns])).dropna(subset=[self.label, *self.columns])
+        """Several passes over the feature columns, which are persisted meanwhile so that they are made once."""
+        rows = df.select(*dict.fromkeys([*self.order, self.label, *self.columns])).dropna(subset=[self.label, *self.columns]).persist()
+        try:
+            return self._fit(rows)
+        finally:
+            rows.unpersist()
+
+    def _fit(self, rows: DataFrame) -> TrainingChain:
         self.classes = sorted(r[0] for r in rows.select(self.label).distinct().collect())
         if not self.classes:
             raise ValueError("no labelled rows")
