@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurolake.llm import _frames, _links, _text
+from neurolake.llm import _frames, _links, _minhash, _text
 
 #: ids to keep that are broadcast at most; beyond, documents and ids are joined by shuffle
 BROADCAST_IDS = 4_000_000
@@ -73,17 +75,85 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, seed: int =
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _shingle_sets(texts: pa.Array, size: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct shingle hashes, first of each row), chunk by chunk."""
+    for _, _, buf, offsets in _text.chunks(texts):
+        norm, starts, ends, first = shingles(buf, offsets, size)
+        yield _minhash.distinct(_text.xxh64(norm, starts, ends, seed), first)
+
+
+def set_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id): a row per row of docs; component_id is the smallest doc_id reachable over pairs whose sets of word
+    shingles have a Jaccard similarity of at least so much.
+
+    Candidates come from MinHash bands, and every candidate group is then compared by its whole sets. Texts without words have the
+    same, empty set. Rows without doc_id belong to their component as in near_duplicates().
+    """
+
+    def sign(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        node, keys = [np.zeros(0, np.uint64)], []
+        for h, first in _shingle_sets(_text_of(batch), size, seed):
+            node.append(_minhash.nodes(h, first))
+            keys += [k.tobytes() for k in _minhash.band_keys(h, first)]
+        return {"node": pa.array(np.concatenate(node).view(np.int64)), "keys": pa.array(keys, pa.binary())}
+
+    signed = _frames.cut(_frames.add_columns(docs.select("doc_id", "text"), [("node", "long"), ("keys", "binary")], sign, ["doc_id"]))
+    sets = _frames.cut(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
+    edges = _frames.cut(_minhash.candidate_edges(sets))
+    if edges.isEmpty():
+        named = sets.select("node", F.col("least").alias("component_id"))
+        return signed.join(named, "node").select("doc_id", "component_id")
+    groups = _frames.cut(_links.components(edges).join(sets.select("node", "least"), "node"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, first in _shingle_sets(_text_of(batch), size, seed):
+                loads = [h[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(_minhash.nodes(h, first).view(np.int64)), pa.array(loads, pa.binary())], names=["node", "load"])
+
+    ids = _frames.cut(groups.select(F.col("least").alias("at")).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    holding = docs.join(ids, docs["doc_id"].eqNullSafe(ids["at"]), "left_semi").select("text")
+    found = holding.mapInArrow(read, "node long, load binary").groupBy("node").agg(F.first("load").alias("load"))
+    parts = 4 * _frames.partitions(docs.sparkSession)
+    dealt = found.join(groups.select("node", "component"), "node").withColumn("k", F.pmod(F.xxhash64("component"), F.lit(parts)))
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, comp = group.column("node").to_numpy(), group.column("component").to_numpy()
+        load = group.column("load").to_pylist()
+        order = np.lexsort((node, comp))
+        root = node.copy()
+        for at in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+            root[at] = node[at][_minhash.clusters([np.frombuffer(load[i], np.uint64) for i in at.tolist()], least)]
+        _frames.trim()
+        return pa.table({"node": node, "root": root})
+
+    rooted = _frames.cut(dealt.select("k", "node", "component", "load").groupBy("k").applyInArrow(compare, "node long, root long"))
+    member = _frames.cut(sets.select("node", "least").join(rooted, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    head = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    return signed.join(member.join(head, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def _first_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    kept = _frames.cut(named.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct())
+    if kept.count() <= BROADCAST_IDS:
+        kept = F.broadcast(kept)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """docs with one row of each near-duplicate component: the row of the smallest doc_id.
 
     Rows that share that doc_id are kept or dropped together, so rows repeated under one id stay for an exact distinct.
     Rows without doc_id stay only in a component of none but such rows. All columns are handed on unchanged.
     """
-    kept = near_duplicates(docs, size, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = _frames.cut(kept)
-    if kept.count() <= BROADCAST_IDS:
-        kept = F.broadcast(kept)
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return _first_of_each(docs, near_duplicates(docs, size, radius))
+
+
+def drop_set_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each component of set_duplicates(), kept as by drop_near_duplicates()."""
+    return _first_of_each(docs, set_duplicates(docs, size, least))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

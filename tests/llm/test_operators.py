@@ -89,6 +89,26 @@ def test_simhash_components(spark, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comp)) and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
+def test_near_stage_against_brute_force(spark, texts):
+    rng = random.Random(11)
+    base = [prose(rng.randint(60, 200), rng) for _ in range(25)]
+    docs = [*texts, *base]
+    for share in (0.005, 0.01, 0.02, 0.04):
+        docs += [" ".join(rng.choice(VOCAB) if rng.random() < share else w for w in b.split()) for b in base]
+    sets = []
+    for t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    comp = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    got = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, table(spark, docs), "").collect()}
+    assert got == set(comp)
+
+
 @pytest.mark.parametrize("radius", [1, 2, 3])
 def test_links_in_dense_runs(radius, monkeypatch):
     rng = np.random.default_rng(radius)
