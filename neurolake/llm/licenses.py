@@ -111,7 +111,16 @@ class Scanner:
         rare = [w for w in distinct if count[w]][: missing + 1]
         best = (0.0, 0.0, 0, -1, -1)
         reach = 2 * length + 8
-        windows = sorted({(int(np.searchsorted(at, p - reach)), int(np.searchsorted(at, p + reach + 1))) for w in rare for p in at[ids == w].tolist()})
+        spans = set()
+        for w in rare:
+            places, offsets = at[ids == w].tolist(), [j for j, x in enumerate(want) if x == w]
+            edges = [-1, *places, *[int(at[-1]) + 1] * len(offsets)]
+            for i, p in enumerate(places):
+                spans.add((p - reach, p + reach + 1))
+                # copies close together: from the place before to the one after those of one copy, and the bare length of a copy
+                spans.add((max(edges[i] + 1, p - reach), min(edges[i + 1 + len(offsets)], p + reach + 1)))
+                spans |= {(p - j - length // 4, p - j + length + length // 4) for j in offsets}
+        windows = sorted({(int(np.searchsorted(at, a)), int(np.searchsorted(at, b))) for a, b in spans})
         for lo, hi in windows:
             local = np.minimum(np.bincount(ids[lo:hi], minlength=len(self.hashes)), self.counts[name]).sum()
             if local <= best[2]:

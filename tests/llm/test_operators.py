@@ -221,6 +221,16 @@ def test_licenses(spark):
     assert licenses.align([1, 2, 3, 9, 4], [1, 2, 3, 4]) == [(0, 0), (1, 1), (2, 2), (4, 3)]
 
 
+def test_repeated_licenses(spark):
+    line, mit, bsd = (licenses.TEMPLATES[k] for k in ("mit-line", "mit-permission", "bsd-clauses"))
+    docs = ["this file is part of the kit " + line + " copyright notice " + line + " and any part of the software"]
+    docs += [f"the files of this software {t} of the license and {t} to any part of the software {t} in the kit and of this" for t in (line, mit, bsd)]
+    docs += ["all of this " + mit + " " + mit + " is the software", "the license of the " + line + " the " + line + " of the software"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(table(spark, docs)).collect()}
+    assert [got[i]["license"] for i in range(len(docs))] == ["mit-line", "mit-line", "mit-permission", "bsd-clauses", "mit-permission", "mit-line"]
+    assert all(got[i]["license_coverage"] == 1.0 for i in range(len(docs)))
+
+
 def test_quality_held_out(spark):
     rng = random.Random(5)
     good = [prose(60, rng) + "." for _ in range(200)]
