@@ -270,7 +270,7 @@ def _(s, d):
 
 @query("spikes_halfwave")
 def _(s, d):
-    return spikes.halfwave(ev(s, d).select((F.col("rec") % 10).alias("rec"), F.col("rec").cast("int").alias("ch"), "i", "x").where("i < 48"), 512.0, total_amp=50.0, slope=500.0, duration=0.0005, coeff=1.0)
+    return spikes.halfwave(ev(s, d).select((F.col("rec") % 10).alias("rec"), F.col("rec").cast("int").alias("ch"), "i", "x"), 512.0, total_amp=50.0, slope=500.0, duration=0.0005, coeff=1.0)
 
 
 @query("spikes_envelope")

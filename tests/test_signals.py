@@ -115,6 +115,22 @@ def test_halfwave_spikes_found():
     assert len(spikes.halfwave_spikes(np.random.default_rng(1).normal(0, 20, 20 * 512), 512)) < 20
 
 
+def test_halfwave_of_unequal_channels(spark):
+    long, short = biphasic([1, 3, 5, 7, 9]), biphasic([1, 3], seconds=4, seed=1)
+    rows = [(0, ch, i + at, float(v)) for ch, at, x in ((0, 0, long), (3, 512, short)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "rec long, ch int, i long, x double")
+    found = [(r["channel"], round(r["peak_time"])) for r in spikes.halfwave(df, 512.0).collect()]
+    assert {(0, t) for t in (1, 3, 5, 7, 9)} | {(3, 2), (3, 4)} <= set(found)
+    assert len(found) < 12
+
+
+def test_halfwave_query_reads_whole_signals(spark):
+    from neurolake.plans import catalog
+
+    got = catalog.QUERIES["spikes_halfwave"](spark, "/root/testdata/sf0.01")
+    assert got.where("peak_index >= 48").count() > 0
+
+
 def test_envelope_spikes_blocks_equal_whole(spark):
     rng, fs = np.random.default_rng(2), 200
     t = np.arange(60 * fs) / fs
