@@ -35,7 +35,12 @@ def predict(scored: DataFrame, row: str, score: str = "log_p") -> DataFrame:
 
 
 class GaussianBayes:
-    """Class likelihoods by mean and sample covariance, or by a kernel on each training row with a bandwidth of n^(-1/(d+4))."""
+    """Class likelihoods by mean and sample covariance, or by a kernel on each training row with a bandwidth of n^(-1/(d+4)).
+
+    A kernel model holds all its training rows, in driver and workers, 8 bytes a value; densities are summed in blocks of BLOCK distances.
+    """
+
+    BLOCK = 1 << 18
 
     def __init__(self, columns: list[str], label: str, kernel: bool = False):
         self.columns, self.label, self.kernel = columns, label, kernel
@@ -52,7 +57,7 @@ class GaussianBayes:
                 cov[j, k] = cov[k, j] = r[f"c{i}"] or 0.0
             points = None
             if self.kernel:
-                points = np.array([[float(v) for v in x] for x in df.where(F.col(self.label) == r[self.label]).select(*self.columns).limit(20_000).collect()])
+                points = np.array([[float(v) for v in x] for x in df.where(F.col(self.label) == r[self.label]).select(*self.columns).collect()], float).reshape(-1, d)
                 cov = cov * r["n"] ** (-2 / (d + 4))
             self.classes[r[self.label]] = (np.array([r[f"m{i}"] for i in range(d)]), np.linalg.pinv(cov), float(np.linalg.slogdet(cov + 1e-12 * np.eye(d))[1]), points)
         return self
@@ -64,8 +69,15 @@ class GaussianBayes:
                 e = -0.5 * np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
                 out.append(np.exp(e - 0.5 * (logdet + x.shape[1] * math.log(2 * math.pi))))
             else:
-                d = x[:, None, :] - points[None]
-                out.append(np.exp(-0.5 * np.einsum("ijk,kl,ijl->ij", d, inverse, d) - 0.5 * (logdet + x.shape[1] * math.log(2 * math.pi))).mean(axis=1))
+                total = np.zeros(len(x))
+                wide = max(1, self.BLOCK // max(len(x), 1))
+                step = max(1, self.BLOCK // wide)
+                for j in range(0, len(points), wide):
+                    p = points[j : j + wide]
+                    for i in range(0, len(x), step):
+                        d = x[i : i + step, None, :] - p[None]
+                        total[i : i + step] += np.exp(-0.5 * np.einsum("ijk,ijk->ij", d @ inverse, d) - 0.5 * (logdet + x.shape[1] * math.log(2 * math.pi))).sum(axis=1)
+                out.append(total / max(len(points), 1))
         return np.stack(out, axis=1)
 
     def scores(self, df: DataFrame, keys: list[str], order: str, bias: dict[str, float] | None = None, smooth: bool = True) -> DataFrame:

@@ -196,6 +196,13 @@ def _(s, d):
     return classifiers.GaussianBayes(cols, "label").fit(e).scores(e, ["night"], "rec")
 
 
+@query("bayes_kernel_scores")
+def _(s, d):
+    e = emb4(s, d).withColumn("night", F.col("rec") % 5).withColumn("label", F.col("label") % 3)
+    cols = [f"x{i}" for i in range(4)]
+    return classifiers.GaussianBayes(cols, "label", kernel=True).fit(e).scores(e, ["night"], "rec")
+
+
 @query(
     "markov_decode",
     f"""WITH RECURSIVE {sleeping.HY}, r AS (SELECT rec, annotation, row_number() OVER (PARTITION BY rec ORDER BY start_us) AS n FROM h),

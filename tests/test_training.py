@@ -90,6 +90,26 @@ def test_chain_tells_classes_apart(spark):
         training.TrainingChain(cols, "y", ["id"]).fit(df.where("id < 0"))
 
 
+def test_kernel_density_takes_every_row(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_400, 2))
+    y = np.where(np.arange(len(x)) < 400, "B", "A")
+    x[-3000:] += 40
+    df = spark.createDataFrame(pd.DataFrame(x[:20_400], columns=["u", "v"]).assign(y=y))
+    more = spark.createDataFrame(pd.DataFrame(x[400:1400] - 30, columns=["u", "v"]).assign(y="A"))
+    m = classifiers.GaussianBayes(["u", "v"], "y", kernel=True).fit(df.unionByName(more))
+    assert {c: len(v[3]) for c, v in m.classes.items()} == {"A": 21_000, "B": 400}
+    asked = np.array([[0.0, 0.0], [40.0, 40.0], [-30.0, -30.0]])
+    got = m.likelihoods(asked)
+    monkeypatch.setattr(classifiers.GaussianBayes, "BLOCK", 7)
+    small = classifiers.GaussianBayes(["u", "v"], "y", kernel=True).fit(df.where("y = 'B'"))
+    mine = x[:400]
+    cov = np.cov(mine.T) * 400 ** (-2 / 6)
+    d = asked[:, None] - mine[None]
+    want = np.exp(-0.5 * np.einsum("ijk,kl,ijl->ij", d, np.linalg.inv(cov), d)).mean(axis=1) / (2 * np.pi * np.sqrt(np.linalg.det(cov)))
+    assert np.allclose(small.likelihoods(asked)[:, 0], want) and np.allclose(got[:, 1], want)
+
+
 def test_pair_structure_tells_classes_apart(spark):
     rng = np.random.default_rng(5)
     y = np.array(["A"] * 15 + ["B"] * 15)
