@@ -284,6 +284,14 @@ class Parent:
         self.place = place
         self.c_u, self.t_u = (np.bincount(place, weights=np.concatenate([x[k] for x in loads]), minlength=len(self.contexts)) for k in (5, 6))
 
+    def spread(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each load, its spread contexts' customers in all buckets, and their tables in the others, by what each bucket last told."""
+        at = 0
+        for load in self.loads:
+            mine = self.place[at : at + len(load[4])]
+            at += len(load[4])
+            yield self.c_u[mine], self.t_u[mine] - load[6]
+
 
 def score_texts(docs: DataFrame, held_out: str = "false", sweeps: int = SWEEPS, seed: int = SEED, rounds: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row per row of docs (doc_id long, text), all texts whole.
@@ -320,13 +328,12 @@ def score_texts(docs: DataFrame, held_out: str = "false", sweeps: int = SWEEPS,
         x = Parent(_loads(group), wb, n, seed)
         s = {k: sums.column(k)[0].as_py() for k in ("n", "v", "customers", "tables")}
         p0 = (x.customers - ROOT_DISCOUNT * x.tables + (ROOT_STRENGTH + ROOT_DISCOUNT * s["tables"]) / (s["v"] + 1)) / (ROOT_STRENGTH + s["customers"])
-        keys, loads, at, place = [], [], 0, 0
-        for load in x.loads:
+        keys, loads, at = [], [], 0
+        for load, (c_u, outside) in zip(x.loads, x.spread()):
             mine = x.at[at : at + len(load[1])]
-            spread = x.place[place : place + len(load[4])]
-            at, place = at + len(load[1]), place + len(load[4])
+            at += len(load[1])
             keys.append(int(load[0][0]))
-            loads.append(_pack(np.array([wb, s["n"], s["v"]], np.int64), x.c[mine].astype(np.uint32) if s["n"] < 1 << 32 else x.c[mine], p0[mine], x.c_u[spread], x.t_u[spread]))
+            loads.append(_pack(np.array([wb, s["n"], s["v"]], np.int64), x.c[mine].astype(np.uint32) if s["n"] < 1 << 32 else x.c[mine], p0[mine], c_u, outside))
         return pa.table({"b": pa.array(keys, pa.int32()), "load": pa.array(loads, pa.binary())})
 
     def answered(group: pa.Table, replies: pa.Table) -> tuple[Pieces, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
@@ -348,17 +355,11 @@ def score_texts(docs: DataFrame, held_out: str = "false", sweeps: int = SWEEPS,
             big_n, big_v = int(x[0][1]), int(x[0][2])
         return p, count, p0, c_u, elsewhere, big_n, big_v
 
-    def own_tables(p: Pieces, b: int, replayed: int) -> np.ndarray:
-        """Tables that this bucket last told of its spread contexts."""
-        local = (p.c_w[p.w] + 1.0) / (p.c_w.sum() + len(p.words) + 1.0)
-        t, _ = gibbs(p.c, local, p.u, len(p.contexts), np.zeros(len(p.contexts)), DISCOUNT, STRENGTH, _rng(seed, 1, b), BURN, 1)
-        return np.bincount(p.u, weights=t, minlength=len(p.contexts))
-
     def seated(p: Pieces, b: int, p0: np.ndarray, elsewhere: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = _hot_in(p.contexts, hold.value)
         extra = np.zeros(len(p.contexts))
         if len(h):
-            extra[h] = np.maximum(0, elsewhere[h] - own_tables(p, b, step)[h])
+            extra[h] = elsewhere[h]
         last, mean = gibbs(p.c, p0[p.w], p.u, len(p.contexts), extra, DISCOUNT, STRENGTH, _rng(seed, 3 + step, b), BURN, sweeps)
         return last, mean, extra
 

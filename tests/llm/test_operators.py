@@ -245,6 +245,13 @@ def test_quality_held_out(spark):
     assert all(s == 0.5 for s in (r["score"] for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()))
 
 
+def test_hpylm_spread_contexts_get_the_tables_told_by_others():
+    load = lambda b, contexts, tables: [np.array([b]), *(np.array([5 + b, 9], t) for t in (np.uint64, np.uint32, np.uint32)), np.array(contexts, np.uint64), np.array(tables) * 2, np.array(tables)]
+    x = hpylm.Parent([load(0, [3, 8], [4, 1]), load(1, [8, 3, 11], [7, 2, 5])], 0, 2, 1)
+    got = [[v.tolist() for v in y] for y in x.spread()]
+    assert got == [[[12, 16], [2, 7]], [[16, 12, 10], [1, 4, 0]]]
+
+
 def test_hpylm(spark, texts):
     got = {r["doc_id"]: r for r in hpylm.score_texts(table(spark, texts), "crc32(CAST(doc_id AS STRING)) % 7 = 2").collect()}
     tok = [re.findall(r"[^\x20\x09-\x0D]+", low(t or "")) + [None] for t in texts]
