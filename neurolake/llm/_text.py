@@ -15,7 +15,8 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93  # odd, hence invertible modulo 2**64
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: of a second, independent hash
+SECOND = 0xA0761D6478BD642F
 _powers: dict[str, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -91,13 +92,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each slice, equal for equal bytes: a polynomial from prefix sums, then mixed."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """64-bit hash of each slice, equal for equal bytes: a polynomial from prefix sums, then mixed. base: odd; another one gives another hash."""
     n = len(buf)
     prefix = np.empty(n + 1, dtype=np.uint64)
     prefix[0] = 0
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("p", _BASE, n + 1)[:n], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * _power("i", _BASE_INVERSE, n + 1)[starts])
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power(f"p{base}", base, n + 1)[:n], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * _power(f"i{base}", pow(base, -1, 1 << 64), n + 1)[starts])
 
 
 def hash_one(word: bytes) -> int:

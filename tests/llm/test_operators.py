@@ -296,35 +296,6 @@ def test_seating_moments():
     assert exact.mean() == pytest.approx(np.mean(seen[500:]), abs=0.12)
 
 
-def test_line_dedup(spark):
-    rng = random.Random(9)
-    line = "this is a boilerplate line of some length"
-    fuzzy = " ".join(rng.choice(VOCAB) for _ in range(120))
-    docs = [f"{prose(20, rng)}\n{line}\nshort", f"{line.upper()}!\nshort\n{prose(20, rng)}", f"short\n{line}", fuzzy, fuzzy + " x", None, "", "\n\n"]
-    got = {r["doc_id"]: r for r in lines.dedup_lines(table(spark, docs)).collect()}
-    assert line in got[0]["text"] and got[0]["n_removed"] == 0
-    assert "BOILERPLATE" not in got[1]["text"] and got[1]["n_removed"] == 1 and got[2]["text"] == "short"
-    assert got[3]["text"] == fuzzy and (got[5]["text"], got[5]["n_lines"], got[6]["n_lines"], got[7]["n_lines"]) == (None, 0, 1, 3)
-    for _ in range(500):
-        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(2))
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        assert lines.similar(a, b, 0.6) == (row[-1] <= int(0.4 * max(len(a), len(b)) + 1e-9))
-
-
-def test_similar_lines_link(spark):
-    words = [f"word{i}" for i in range(400)]
-    docs = [" ".join(words), " ".join(words[:399] + ["other"]), " ".join(reversed(words))]
-    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(table(spark, docs)).collect()}
-    sim = {r["doc_id"]: r["sim"] for r in lines.told_lines(table(spark, docs)).collect()}
-    near = bin((sim[0] ^ sim[1]) & (1 << 64) - 1).count("1") <= 3
-    assert got == {0: 0, 1: int(near), 2: 0} and near
-
-
 def test_sharding(spark, texts):
     docs = texts * 6 + ["hot text " * 20] * 200
     got = [r.asDict() for r in sharding.shard(table(spark, docs), 5).collect()]
