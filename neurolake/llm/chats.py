@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from neurolake.llm import _frames
 
-#: messages in a part of a conversation
+#: turns in a part of a conversation, and messages or calls in a piece of a part
 PART = 1024
+#: brackets within brackets of JSON that is read; a call or result that nests deeper counts as unreadable
+DEPTH = 64
 
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
@@ -21,7 +23,47 @@ _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool
 
 def canonical(value: object) -> str:
     """JSON of one spelling: sorted keys, no spaces, no escapes but the needed ones."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
+def _no_constant(name: str) -> float:
+    raise ValueError(f"{name} is not JSON")
+
+
+def read(text: str) -> object:
+    """The JSON value of text. ValueError if it isn't JSON (NaN isn't), can't be written again as UTF-8, or nests deeper than DEPTH."""
+    depth, quoted, escaped = 0, False, False
+    for c in re.finditer(r'[\[\]{}"\\]', text) if text.count("[") + text.count("{") > DEPTH else ():
+        if quoted:
+            # a backslash takes the character after it along
+            if escaped and c.start() == escape_at + 1:
+                escaped = False
+            elif c.group() == "\\":
+                escaped, escape_at = True, c.start()
+            elif c.group() == '"':
+                quoted = False
+            continue
+        if c.group() == '"':
+            quoted, escaped = True, False
+        elif c.group() in "[{":
+            depth += 1
+            if depth > DEPTH:
+                raise ValueError("nested too deep")
+        else:
+            depth -= 1
+    value = json.loads(text, parse_constant=_no_constant)
+    canonical(value).encode()
+    return value
+
+
+def check_schema(schema: dict, at: str = "$") -> None:
+    """ValueError for a schema that invalid() can't apply."""
+    kinds = schema.get("type")
+    for k in [] if kinds is None else [kinds] if isinstance(kinds, str) else kinds:
+        if k not in _TYPES:
+            raise ValueError(f"{at}: unknown type {k}")
+    for name, part in [*schema.get("properties", {}).items(), *([("[]", schema["items"])] if isinstance(schema.get("items"), dict) else [])]:
+        check_schema(part, f"{at}.{name}")
 
 
 def invalid(value: object, schema: dict, at: str = "$") -> list[str]:
@@ -32,7 +74,7 @@ def invalid(value: object, schema: dict, at: str = "$") -> list[str]:
         if not any(isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in allowed):
             return [f"{at}: not {' or '.join(allowed)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: not in enum")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if "minimum" in schema and value < schema["minimum"]:
@@ -53,44 +95,47 @@ def invalid(value: object, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
-def calls_in(text: str | None) -> list[dict]:
-    """Tool calls of an assistant's text, in order: id, name, arguments (None where they aren't an object), needs (ids of calls whose results the arguments name as {"$result": id})."""
-    out = []
+def _named(value: object) -> set[str]:
+    """Ids of the calls whose results a value names as {"$result": id}."""
+    out, todo = set(), [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            if isinstance(v.get("$result"), str):
+                out.add(v["$result"])
+            todo += v.values()
+        elif isinstance(v, list):
+            todo += v
+    return out
+
+
+def calls_in(text: str | None) -> tuple[list[dict], int]:
+    """(tool calls of an assistant's text in order, how many can't be read). A call: id, name, arguments (None where they aren't an object), needs."""
+    out, bad = [], 0
     for body in _CALL.findall(text or ""):
         try:
-            x = json.loads(body)
-        except ValueError:
-            continue
-        if not isinstance(x, dict) or not isinstance(x.get("id"), str):
+            x = read(body)
+            if not isinstance(x, dict) or not isinstance(x.get("id"), str):
+                raise ValueError("a call needs an id")
+        except (ValueError, RecursionError):
+            bad += 1
             continue
         args = x.get("arguments")
         if isinstance(args, str):
             try:
-                args = json.loads(args)
-            except ValueError:
+                args = read(args)
+            except (ValueError, RecursionError):
                 args = None
-        needs: list[str] = []
-
-        def look(v: object) -> None:
-            if isinstance(v, dict):
-                if isinstance(v.get("$result"), str):
-                    needs.append(v["$result"])
-                for y in v.values():
-                    look(y)
-            elif isinstance(v, list):
-                for y in v:
-                    look(y)
-
-        look(args)
-        out.append({"id": x["id"], "name": str(x.get("name")), "arguments": args if isinstance(args, dict) else None, "needs": sorted(set(needs))})
-    return out
+        name = x.get("name")
+        out.append({"id": x["id"], "name": name if isinstance(name, str) else canonical(name), "arguments": args if isinstance(args, dict) else None, "needs": sorted(_named(args))})
+    return out, bad
 
 
 def result_of(text: str | None) -> tuple[str, str] | None:
-    """(call id, content) of a tool message, JSON with tool_call_id and content."""
+    """(call id, content) of a tool message, JSON with tool_call_id and content; None if it can't be read."""
     try:
-        x = json.loads(text or "")
-    except ValueError:
+        x = read(text or "")
+    except (ValueError, RecursionError):
         return None
     if not isinstance(x, dict) or not isinstance(x.get("tool_call_id"), str):
         return None
@@ -98,95 +143,146 @@ def result_of(text: str | None) -> tuple[str, str] | None:
     return x["tool_call_id"], c if isinstance(c, str) else canonical(c)
 
 
-def topological(calls: list[dict]) -> tuple[list[dict], bool]:
-    """Calls with what they need before them, else in order of (turn, nth); True if a cycle is left, whose calls come last in that order."""
-    index: dict[str, int] = {}
-    for i, c in enumerate(calls):
-        index.setdefault(c["id"], i)
-    left = [len({index[n] for n in c["needs"] if n in index and index[n] != i}) + (c["id"] in c["needs"]) for i, c in enumerate(calls)]
-    after: dict[int, list[int]] = {}
-    for i, c in enumerate(calls):
-        for n in {index[n] for n in c["needs"] if n in index and index[n] != i}:
-            after.setdefault(n, []).append(i)
-    free = [i for i, n in enumerate(left) if n == 0]
-    heapq.heapify(free)
-    out = []
-    while free:
-        i = heapq.heappop(free)
-        out.append(i)
-        for k in after.get(i, []):
-            left[k] -= 1
-            if left[k] == 0:
-                heapq.heappush(free, k)
-    rest = sorted(set(range(len(calls))) - set(out))
-    return [calls[i] for i in out + rest], bool(rest)
-
-
-def link_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(calls, orphans). calls: (conv_id, turn, nth, id, name, arguments JSON, needs, result); a call has the first result of its id at
-    or after its turn by hash join on (conv_id, id), null where there is none. orphans: results (conv_id, turn, id) that no call has.
-
-    A conversation that repeats an id links each result to every call of it.
-    """
-    kind = "array<struct<nth:int,id:string,name:string,arguments:string,needs:array<string>>>"
-    shape = pa.list_(pa.struct([("nth", pa.int32()), ("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("needs", pa.list_(pa.string()))]))
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """left with the other columns of right, joined by keys, null for null."""
+    r = right.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in right.columns])
+    got = left.join(r, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], how)
+    return got.select(*[c for c in got.columns if c not in {f"_{k}" for k in keys}])
+
+
+def _time() -> Column:
+    """turn; a null turn stands first."""
+    return F.coalesce("turn", F.lit(-(1 << 63)))
+
+
+def parse_messages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, m, calls, result_id, content, bad) of the messages that hold calls, results or unreadable ones of these."""
+    kind = "array<struct<id:string,name:string,arguments:string,needs:array<string>>>"
+    shape = pa.list_(pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("needs", pa.list_(pa.string()))]))
 
     def parse(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        calls, ids, contents = [], [], []
+        calls, ids, contents, bads = [], [], [], []
         for role, text in zip(_frames.text_column(batch, "role").to_pylist(), _frames.text_column(batch).to_pylist()):
-            found = calls_in(text) if role == "assistant" and text and "<tool_call>" in text else []
-            calls.append([{"nth": i, "id": c["id"], "name": c["name"], "arguments": None if c["arguments"] is None else canonical(c["arguments"]), "needs": c["needs"]} for i, c in enumerate(found)])
+            found, bad = calls_in(text) if role == "assistant" and text and "<tool_call>" in text else ([], 0)
+            calls.append([c | {"arguments": None if c["arguments"] is None else canonical(c["arguments"])} for c in found])
             got = result_of(text) if role == "tool" else None
+            bads.append(bad + (role == "tool" and got is None))
             ids.append(got and got[0])
             contents.append(got and got[1])
-        return {"calls": pa.array(calls, shape), "result_id": pa.array(ids, pa.string()), "content": pa.array(contents, pa.string())}
+        return {"calls": pa.array(calls, shape), "result_id": pa.array(ids, pa.string()), "content": pa.array(contents, pa.string()), "bad": pa.array(bads, pa.int64())}
+
+    marked = messages.withColumn("m", F.xxhash64("role", "text"))
+    parsed = _frames.add_columns(marked, [("calls", kind), ("result_id", "string"), ("content", "string"), ("bad", "long")], parse, ["conv_id", "turn", "m"])
+    return _frames.cut(parsed.where("size(calls) > 0 or result_id is not null or bad > 0"))
 
-    parsed = _frames.add_columns(messages, [("calls", kind), ("result_id", "string"), ("content", "string")], parse, ["conv_id", "turn"])
-    parsed = _frames.cut(parsed.where("size(calls) > 0 or result_id is not null"))
-    calls = parsed.select("conv_id", "turn", F.explode("calls").alias("c")).select("conv_id", "turn", "c.*")
-    results = parsed.where("result_id is not null").select(F.col("conv_id").alias("r_conv"), F.col("turn").alias("r_turn"), F.col("result_id").alias("id"), "content")
-    same = F.col("conv_id").eqNullSafe(F.col("r_conv"))
-    joined = calls.join(results.withColumnRenamed("id", "r_id"), same & (F.col("id") == F.col("r_id")) & (F.col("r_turn") >= F.col("turn")), "left")
-    linked = joined.groupBy("conv_id", "turn", "nth", "id", "name", "arguments", "needs").agg(F.min(F.struct("r_turn", "content")).alias("first"))
-    linked = linked.select("conv_id", "turn", "nth", "id", "name", "arguments", "needs", F.col("first.content").alias("result"))
-    own = calls.select(F.col("conv_id").alias("c_conv"), F.col("id").alias("c_id"), F.col("turn").alias("c_turn"))
-    orphans = results.join(own, F.col("r_conv").eqNullSafe(F.col("c_conv")) & (F.col("id") == F.col("c_id")) & (F.col("r_turn") >= F.col("c_turn")), "left_anti")
-    return linked, orphans.select(F.col("r_conv").alias("conv_id"), F.col("r_turn").alias("turn"), "id")
 
+def link_calls(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, orphans) of parse_messages(). calls: (conv_id, turn, pos, id, name, arguments JSON, needs, result); orphans: (conv_id, turn, id).
 
-RESULT = "conv_id {0}, part int, n_messages long, n_calls long, n_linked long, n_invalid long, n_orphans long, cyclic boolean, json string"
+    A call has the first result of its id in the conversation at or after its turn, null where there is none; of results of one
+    turn the least content. Results of an id are brought together before the hash join on (conv_id, id), one row to one call; the
+    calls of an id that is called again find theirs by a running window. An orphan is a result that no call stands before.
+    """
+    calls = parsed.select("conv_id", "turn", _time().alias("t"), "m", F.posexplode("calls").alias("nth", "c")).select("conv_id", "turn", "t", F.struct("t", "m", "nth").alias("pos"), "c.*")
+    results = parsed.where("result_id is not null").select("conv_id", "turn", _time().alias("t"), F.col("result_id").alias("id"), "content")
+    ids = _frames.cut(calls.groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.min("t").alias("t0")))
+    told = _frames.cut(_same(results, ids, ["conv_id", "id"]))
+    orphans = told.where("t0 is null or t < t0").select("conv_id", "turn", "id")
+    good = told.where("t >= t0")
+    first = good.where("n = 1").groupBy("conv_id", "id").agg(F.min(F.struct("t", "content")).alias("r")).select("conv_id", "id", F.col("r.content").alias("result"))
+    counted = _same(calls, ids.select("conv_id", "id", "n"), ["conv_id", "id"])
+    names = ["conv_id", "turn", "pos", "id", "name", "arguments", "needs"]
+    once = _same(counted.where("n = 1").select(*names), first, ["conv_id", "id"]).select(*names, "result")
+    # from the last turn back: at a turn results come before calls, the least content last
+    lines = counted.where("n > 1").select(*names, "t", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("content"))
+    heard = good.where("n > 1").select("conv_id", "id", "t", F.lit(1).alias("kind"), "content")
+    back = W.partitionBy("conv_id", "id").orderBy(F.desc("t"), F.desc("kind"), F.desc("content"), F.desc("pos")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = lines.unionByName(heard, allowMissingColumns=True).withColumn("result", F.last("content", ignorenulls=True).over(back))
+    return once.unionByName(both.where("kind = 0").select(*names, "result")), orphans
+
+
+def order_calls(calls: DataFrame) -> DataFrame:
+    """calls (conv_id, pos, id, needs, ...) with key, depth, cyclic: sorted by (cyclic, key, depth, pos), every call comes after the calls it needs.
+
+    A need is the first call of the id in the conversation; needs without a call don't count. key is the last position among a
+    call and all that it needs, directly or not, so a call stays in its place unless it needs something later. Calls on or behind
+    a cycle are cyclic and stand last, by position. Conversations in which nothing points ahead are in order as they are; in
+    the others calls are settled in rounds, joins of the edges that are left, as many as the longest chain.
+    """
+    place = _frames.cut(calls.groupBy("conv_id", "id").agg(F.min("pos").alias("at")))
+    edges = calls.select("conv_id", "pos", F.explode("needs").alias("id"))
+    edges = _frames.cut(_same(edges, place, ["conv_id", "id"], "inner").select("conv_id", "pos", "at").distinct())
+    ahead = edges.where("at >= pos").select("conv_id").distinct()
+    if ahead.isEmpty():
+        return calls.withColumn("key", F.col("pos")).withColumn("depth", F.lit(0)).withColumn("cyclic", F.lit(False))
+    left = _frames.cut(_same(edges, ahead, ["conv_id"], "left_semi"))
+    nodes = _same(calls.select("conv_id", "pos"), ahead, ["conv_id"], "left_semi")
+    waits = left.select("conv_id", "pos").distinct().withColumn("waits", F.lit(True))
+    state = _same(nodes, waits, ["conv_id", "pos"]).select("conv_id", "pos", F.col("pos").alias("key"), F.lit(0).alias("depth"), F.col("waits").isNull().alias("done"))
+    state, before = _frames.cut(state), -1
+    while (now := state.where("done").count()) != before:
+        before = now
+        needed = state.select("conv_id", F.col("pos").alias("at"), F.col("key").alias("their_key"), F.col("depth").alias("their_depth"), F.col("done").alias("their_done"))
+        ready = _same(left, needed, ["conv_id", "at"]).groupBy("conv_id", "pos").agg(F.min("their_done").alias("ready"), F.max("their_key").alias("their_key"), F.max("their_depth").alias("their_depth"))
+        turn = ~F.col("done") & F.col("ready")
+        state = _frames.cut(
+            _same(state, ready, ["conv_id", "pos"]).select(
+                "conv_id", "pos", F.when(turn, F.greatest("key", "their_key")).otherwise(F.col("key")).alias("key"),
+                F.when(turn, F.col("their_depth") + 1).otherwise(F.col("depth")).alias("depth"), (F.col("done") | turn).alias("done"),
+            )
+        )
+    out = _same(calls, state, ["conv_id", "pos"])
+    settled = F.coalesce("done", F.lit(True))
+    return out.withColumn("key", F.when(settled, F.coalesce("key", "pos")).otherwise(F.col("pos"))).withColumn("depth", F.when(settled, F.coalesce("depth", F.lit(0))).otherwise(0)).withColumn("cyclic", ~settled).drop("done")
+
+
+COUNTS = ["n_messages", "n_calls", "n_linked", "n_invalid", "n_dropped", "n_orphans"]
 
 
 def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """A row for each conversation and part of PART turns: counts, and json, its messages and calls in canonical JSON.
+    """(conv_id, part, piece, counts, cyclic, json): a row for each conversation, part of PART turns and piece of PART messages or calls.
 
     Messages come in order of (turn, role, text); a row that repeats a whole message counts once. Calls stand after the
     messages in topological order with their results, null where missing, and what in the arguments breaks the schema of the
-    tool; a tool without a schema takes any object, arguments that aren't an object are invalid. A null conversation id is a
-    conversation, a null turn stands first, in part 0, null text is JSON null. Parts keep a conversation of any length from
-    meeting in one task; calls are linked across parts, and stand in the part of their turn.
+    tool; a tool without a schema takes any object, arguments that aren't an object are invalid. Calls and results that can't be
+    read (not JSON, no id, nested over DEPTH) stay in their message and count in n_dropped. A null conversation id is a
+    conversation, a null turn stands first, in part 0, null text is JSON null. Parts and pieces keep a conversation of any length
+    from meeting in one task; calls are linked and ordered across them, and stand in the part of the last turn they depend on.
+    A schema with a type that isn't known is a ValueError. cyclic: whether a call of the row is on or behind a cycle.
     """
-    kind = conversations.schema["conv_id"].dataType.simpleString()
-    part = F.coalesce(F.floor(F.col("turn") / PART), F.lit(0)).cast("int")
-    messages = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
-    calls, orphans = link_calls(messages)
-    parted = messages.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
-    some_calls = calls.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "nth", "id", "name", "arguments", "needs", "result"))).alias("calls"))
-    lost = orphans.groupBy("conv_id", part.alias("part")).agg(F.count("*").alias("n_orphans"))
-
-    def attach(left: DataFrame, right: DataFrame) -> DataFrame:
-        r = right.withColumnRenamed("conv_id", "_conv").withColumnRenamed("part", "_part")
-        return left.join(r, left["conv_id"].eqNullSafe(r["_conv"]) & (left["part"] == r["_part"]), "left").drop("_conv", "_part")
-
-    whole = attach(attach(parted, some_calls), lost)
     known = schemas or {}
+    for name, schema in known.items():
+        check_schema(schema, name)
+    _frames.ready(conversations.sparkSession)
+    messages = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
+    parsed = parse_messages(messages)
+    calls, orphans = link_calls(parsed)
+    calls = order_calls(_frames.cut(calls))
+    part_of = lambda t: F.coalesce(F.when(t > -(1 << 63), F.floor(t / PART)), F.lit(0)).cast("int")
+    spot = ["conv_id", "part", "piece"]
+
+    def pieces(rows: DataFrame, *order: str) -> DataFrame:
+        w = W.partitionBy("conv_id", "part").orderBy(*order)
+        return rows.withColumn("piece", F.floor((F.row_number().over(w) - 1) / PART).cast("int"))
+
+    said = pieces(messages.withColumn("part", part_of(_time())), "turn", "role", "text")
+    said = said.groupBy(*spot).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    made = pieces(calls.withColumn("part", part_of(F.col("key.t"))), "cyclic", "key", "depth", "pos")
+    made = made.groupBy(*spot).agg(F.sort_array(F.collect_list(F.struct("cyclic", "key", "depth", "pos", "id", "name", "arguments", "result"))).alias("calls"))
+    of_part = lambda rows, value, name: rows.groupBy("conv_id", part_of(_time()).alias("part")).agg(value.alias(name)).withColumn("piece", F.lit(0))
+    whole = said
+    for other in (made, of_part(orphans, F.count("*"), "n_orphans"), of_part(parsed.where("bad > 0"), F.sum("bad"), "n_dropped")):
+        r = other.select(*[F.col(c).alias(f"_{c}") if c in spot else F.col(c) for c in other.columns])
+        j = whole.join(r, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in spot], "full")
+        here = F.coalesce("part", "_part")
+        whole = j.select(F.when(F.col("part").isNull(), F.col("_conv_id")).otherwise(F.col("conv_id")).alias("conv_id"), here.alias("part"), F.coalesce("piece", "_piece").alias("piece"), *[c for c in j.columns if c not in spot and c[1:] not in spot])
 
     def add(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         out: dict[str, list] = {k: [] for k in ("n_messages", "n_calls", "n_linked", "n_invalid", "cyclic", "json")}
         for said, made in zip(_frames.text_column(batch, "messages").to_pylist(), _frames.text_column(batch, "calls").to_pylist()):
-            ordered, cyclic = topological(made or [])
+            said, made = said or [], made or []
             shown = []
-            for c in ordered:
+            for c in made:
                 args = None if c["arguments"] is None else json.loads(c["arguments"])
                 wrong = ["$: not an object"] if args is None else invalid(args, known.get(c["name"], {}))
                 shown.append({"arguments": args, "errors": wrong, "id": c["id"], "name": c["name"], "result": c["result"]})
@@ -195,29 +291,79 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
                 body["tool_calls"] = shown
             out["n_messages"].append(len(said))
             out["n_calls"].append(len(shown))
-            out["n_linked"].append(sum(c["result"] is not None for c in ordered))
+            out["n_linked"].append(sum(c["result"] is not None for c in shown))
             out["n_invalid"].append(sum(bool(c["errors"]) for c in shown))
-            out["cyclic"].append(cyclic)
+            out["cyclic"].append(any(c["cyclic"] for c in made))
             out["json"].append(canonical(body))
         return {k: pa.array(v, pa.string() if k == "json" else pa.bool_() if k == "cyclic" else pa.int64()) for k, v in out.items()}
 
     fields = [("n_messages", "long"), ("n_calls", "long"), ("n_linked", "long"), ("n_invalid", "long"), ("cyclic", "boolean"), ("json", "string")]
-    made = _frames.add_columns(whole, fields, add, ["conv_id", "part", "n_orphans"])
-    names = [x.split()[0] for x in RESULT.format(kind).split(", ")]
-    return made.withColumn("n_orphans", F.coalesce("n_orphans", F.lit(0).cast("long"))).select(*names)
+    done = _frames.add_columns(whole, fields, add, [*spot, "n_orphans", "n_dropped"])
+    return done.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_orphans", "n_dropped")}).select(*spot, *COUNTS, "cyclic", "json")
+
+
+# The tables hold no tool calls, so the query lets every assistant call two tools: count, of its text's length, and echo. Each
+# user message is also the result of the count before it, and that at turns 2, 6, .. of the echo too. At turns 1, 5, .. count needs echo, which
+# stands after it, and in every fifth conversation echo needs count as well. Every seventh conversation has a broken call in each message.
+SCHEMAS = {
+    "count": {"type": "object", "required": ["length"], "properties": {"length": {"type": "integer", "maximum": 400}}},
+    "echo": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}}, "additionalProperties": False},
+}
+
+
+def with_tools(conversations: DataFrame) -> DataFrame:
+    """conversations with calls and results made of their rows."""
+    said = conversations.select("conv_id", "turn", "role", "text")
+    made = said.selectExpr(
+        "conv_id", "turn", "role",
+        """CASE WHEN role = 'assistant' THEN concat(text,
+            '<tool_call>{"name": "count", "id": "a', turn, '", "arguments": {"length": ', length(text), CASE WHEN turn % 4 = 1 THEN concat(', "after": {"$result": "b', turn, '"}') ELSE '' END, '}}</tool_call>',
+            '<tool_call>{"name": "echo", "id": "b', turn, '", "arguments": {"text": "n', length(text), '"', CASE WHEN turn % 4 = 1 AND conv_id % 5 = 0 THEN concat(', "after": {"$result": "a', turn, '"}') ELSE '' END, '}}</tool_call>',
+            CASE WHEN conv_id % 7 = 3 THEN '<tool_call>{"name": </tool_call>' ELSE '' END) ELSE text END AS text""",
+    )
+    users = said.where("role = 'user'")
+    counted = users.selectExpr("conv_id", "turn", "'tool' AS role", """concat('{"content": {"n": ', length(text), '}, "tool_call_id": "a', turn - 1, '"}') AS text""")
+    echoed = users.where("turn % 4 = 2").selectExpr("conv_id", "turn", "'tool' AS role", """concat('{"content": "ok", "tool_call_id": "b', turn - 1, '"}') AS text""")
+    return made.unionByName(counted).unionByName(echoed)
 
 
 def op10_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations in canonical JSON, with their tool calls linked."""
-    return format_chats(_frames.table(spark, sf_dir, "conversations"))
+    """All conversations in canonical JSON, with calls and results made of their rows linked, ordered and validated."""
+    return format_chats(with_tools(_frames.table(spark, sf_dir, "conversations")), SCHEMAS)
 
 
 OP10_SQL = r"""
-WITH m AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
-SELECT conv_id, CAST(coalesce(floor(turn / 1024), 0) AS INTEGER) AS part, count(*) AS n_messages,
-       CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_invalid, CAST(0 AS BIGINT) AS n_orphans, false AS cyclic,
-       '{"messages":[' || string_agg('{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}', ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) || ']}' AS json
-FROM m GROUP BY conv_id, 2
+WITH c AS (SELECT DISTINCT conv_id, turn, role, text, length(text) AS n FROM conversations),
+m AS (
+  SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN text
+      || '<tool_call>{"name": "count", "id": "a' || turn || '", "arguments": {"length": ' || n || CASE WHEN turn % 4 = 1 THEN ', "after": {"$result": "b' || turn || '"}' ELSE '' END || '}}</tool_call>'
+      || '<tool_call>{"name": "echo", "id": "b' || turn || '", "arguments": {"text": "n' || n || '"' || CASE WHEN turn % 4 = 1 AND conv_id % 5 = 0 THEN ', "after": {"$result": "a' || turn || '"}' ELSE '' END || '}}</tool_call>'
+      || CASE WHEN conv_id % 7 = 3 THEN '<tool_call>{"name": </tool_call>' ELSE '' END ELSE text END AS text FROM c
+  UNION ALL SELECT conv_id, turn, 'tool', '{"content": {"n": ' || n || '}, "tool_call_id": "a' || (turn - 1) || '"}' FROM c WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, 'tool', '{"content": "ok", "tool_call_id": "b' || (turn - 1) || '"}' FROM c WHERE role = 'user' AND turn % 4 = 2),
+js AS (
+  SELECT conv_id, count(*) AS n_messages, string_agg('{"content":' || to_json(text) || ',"role":' || to_json(role) || '}', ',' ORDER BY turn, role, text) AS body FROM m GROUP BY conv_id),
+calls AS (
+  SELECT a.conv_id, a.turn, t.tool, a.turn % 4 = 1 AND a.conv_id % 5 = 0 AS cyclic, a.n,
+         CASE WHEN t.tool = 'a' THEN '{"n":' || u.n || '}' WHEN u.turn % 4 = 2 THEN 'ok' END AS result
+  FROM c a CROSS JOIN (VALUES ('a'), ('b')) AS t(tool) LEFT JOIN c u ON u.conv_id = a.conv_id AND u.turn = a.turn + 1 AND u.role = 'user' WHERE a.role = 'assistant'),
+shown AS (
+  SELECT *, CASE WHEN tool = 'a' AND n > 400 THEN '"$.length: over maximum"' WHEN tool = 'b' AND cyclic THEN '"$.after: unknown"' END AS wrong,
+         CASE WHEN tool = 'a' THEN '{' || CASE WHEN turn % 4 = 1 THEN '"after":{"$result":"b' || turn || '"},' ELSE '' END || '"length":' || n || '}'
+              ELSE '{' || CASE WHEN cyclic THEN '"after":{"$result":"a' || turn || '"},' ELSE '' END || '"text":"n' || n || '"}' END AS arguments,
+         CASE WHEN turn % 4 = 1 AND NOT cyclic AND tool = 'b' THEN 0 WHEN tool = 'a' THEN 1 ELSE 2 END AS nth FROM calls),
+k AS (
+  SELECT conv_id, count(*) AS n_calls, count(result) AS n_linked, count(wrong) AS n_invalid, bool_or(cyclic) AS cyclic,
+         string_agg('{"arguments":' || arguments || ',"errors":[' || coalesce(wrong, '') || '],"id":"' || tool || turn || '","name":"' || CASE tool WHEN 'a' THEN 'count' ELSE 'echo' END || '","result":' || coalesce(to_json(result), 'null') || '}', ',' ORDER BY cyclic, turn, nth) AS body
+  FROM shown GROUP BY conv_id),
+o AS (
+  SELECT u.conv_id, sum(CASE WHEN a.turn IS NULL THEN CASE WHEN u.turn % 4 = 2 THEN 2 ELSE 1 END ELSE 0 END) AS n_orphans
+  FROM c u LEFT JOIN c a ON a.conv_id = u.conv_id AND a.turn = u.turn - 1 AND a.role = 'assistant' WHERE u.role = 'user' GROUP BY u.conv_id),
+b AS (SELECT conv_id, count(*) AS n FROM c WHERE role = 'assistant' AND conv_id % 7 = 3 GROUP BY conv_id)
+SELECT js.conv_id, CAST(0 AS INTEGER) AS part, CAST(0 AS INTEGER) AS piece, n_messages, CAST(coalesce(n_calls, 0) AS BIGINT) AS n_calls, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked,
+       CAST(coalesce(n_invalid, 0) AS BIGINT) AS n_invalid, CAST(coalesce(b.n, 0) AS BIGINT) AS n_dropped, CAST(coalesce(n_orphans, 0) AS BIGINT) AS n_orphans, coalesce(cyclic, false) AS cyclic,
+       '{"messages":[' || js.body || ']' || coalesce(',"tool_calls":[' || k.body || ']', '') || '}' AS json
+FROM js LEFT JOIN k USING (conv_id) LEFT JOIN o USING (conv_id) LEFT JOIN b USING (conv_id)
 """
 
 QUERIES = {"op10_chats": op10_chats}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import random
 import re
 import zlib
@@ -15,7 +14,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from neurolake.llm import _links, _text, bpe, chats, decontaminate, hpylm, licenses, lines, quality, sharding, simhash, spotsigs
+from neurolake.llm import _links, _text, bpe, decontaminate, hpylm, licenses, lines, quality, sharding, simhash, spotsigs
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(7)
@@ -342,32 +341,6 @@ def test_automaton_of_overlapping_merges():
             assert m.encode(s) == plain(s), s
 
 
-def test_chats(spark):
-    call = lambda i, name, args: f"<tool_call>{json.dumps({'id': i, 'name': name, 'arguments': args})}</tool_call>"
-    rows = [
-        (1, 0, "user", "add"),
-        (1, 1, "assistant", call("c2", "add", {"a": {"$result": "c1"}, "b": 2}) + call("c1", "add", {"a": 1, "b": "x"})),
-        (1, 2, "tool", json.dumps({"tool_call_id": "c1", "content": {"z": 1, "a": "é"}})),
-        (1, 3, "tool", json.dumps({"tool_call_id": "zz", "content": "lost"})),
-        (1, 0, "user", "add"),
-        (2, 0, "assistant", call("p", "f", {"x": {"$result": "q"}}) + call("q", "f", {"x": {"$result": "p"}})),
-        (3, 5000, "user", "late"),
-        (3, 1, None, None),
-        (None, None, "user", "no id"),
-        (4, 0, "assistant", "<tool_call>not json</tool_call>"),
-    ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    schema = {"add": {"type": "object", "required": ["a", "b"], "properties": {"b": {"type": "number"}}}}
-    got = {(r["conv_id"], r["part"]): r for r in chats.format_chats(df, schema).collect()}
-    one = got[(1, 0)]
-    assert (one["n_messages"], one["n_calls"], one["n_linked"], one["n_invalid"], one["n_orphans"], one["cyclic"]) == (4, 2, 1, 1, 1, False)
-    body = json.loads(one["json"])
-    assert [c["id"] for c in body["tool_calls"]] == ["c1", "c2"] and body["tool_calls"][0]["result"] == '{"a":"é","z":1}'
-    assert one["json"] == chats.canonical(body)
-    assert got[(2, 0)]["cyclic"] and set(got) == {(1, 0), (2, 0), (3, 0), (3, 4), (None, 0), (4, 0)}
-    assert chats.format_chats(df.limit(0)).count() == 0
-
-
 def test_odd_tables(odd, spark):
     bench = spark.createDataFrame([("b", "the same words are here once and again"), (None, None)], "item_id string, text string")
     labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
