@@ -266,22 +266,29 @@ def hamming_links(fps: DataFrame, radius: int = 3, buckets: int | None = None) -
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of the edges (a, b). Nodes are longs or any ordered type.
+    """(node, component): the smallest node reachable, for every node of the edges (a, b). Nodes are of any ordered type.
 
-    Minimum labels spread along the edges and jump to their label's label until none changes; each round is two
-    joins and an aggregate with map-side combining, so a hub is split by adaptive execution rather than held in a task.
+    Rounds of contraction: every node goes to the least of itself and its neighbours, and on, by doubled steps, to where that leads;
+    edges are drawn between what their ends went to, and those within one node vanish. Each round at least halves the nodes, and
+    links that are stars, as the bucket-wise linkers hand on, vanish in one or two. Aggregates combine map-side, so a hub is not held in a task.
     """
     _frames.ready(edges.sparkSession)
-    e = edges.select("a", "b").where("a is not null and b is not null and a <> b")
-    both = _frames.cut(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
-    labels = _frames.cut(labels)
+    e = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
+    labels = None
     while True:
-        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
-        nearer = labels.join(seen, labels.node == seen.a, "left").select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        roots = labels.select(F.col("node").alias("root"), F.col("component").alias("rooted"))
-        jumped = nearer.join(roots, nearer.component == roots.root, "left").select("node", "was", F.least("component", "rooted").alias("component"))
-        after = _frames.cut(jumped)
-        if after.where("was <> component").isEmpty():
-            return after.select("node", "component")
-        labels = after.select("node", "component")
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
+        to = _frames.cut(to)
+        while True:
+            on = to.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+            on = _frames.cut(to.join(on, F.col("to") == F.col("_n")).select("node", F.col("_t").alias("to"), (F.col("_t") != F.col("to")).alias("moved")))
+            to = on.select("node", "to")
+            if on.where("moved").isEmpty():
+                break
+        labels = to.select("node", F.col("to").alias("component")) if labels is None else labels.join(to.select(F.col("node").alias("_n"), "to"), F.col("component") == F.col("_n"), "left").select("node", F.coalesce("to", "component").alias("component"))
+        end = lambda c: e.join(to.select(F.col("node").alias("_n"), F.col("to").alias("_t")), F.col(c) == F.col("_n"))
+        e = end("a").select(F.col("_t").alias("a"), "b")
+        e = _frames.cut(end("b").select("a", F.col("_t").alias("b")).where("a <> b").distinct())
+        if e.isEmpty():
+            return labels
+        labels = _frames.cut(labels)
