@@ -9,8 +9,9 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,3 +82,37 @@ def add_columns(df: DataFrame, fields: list[tuple[str, str]], fn: Callable[[pa.R
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: str, least_bytes: int = 4 << 20) -> Iterator[pa.Table]:
+    """Tables of whole runs of a column by which the rows are sorted, of at least so many bytes but the last; the last run waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = text_column(batch, column).to_numpy()
+        other = np.flatnonzero(key != key[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if not cut and held and text_column(held[-1], column)[-1].as_py() != key[-1]:
+            cut = -1  # the batch is the beginning of a run
+        if cut and size + batch.nbytes >= least_bytes:
+            whole = [*held, batch.slice(0, cut)] if cut > 0 else held
+            yield pa.Table.from_batches(whole)
+            held, size = [batch.slice(max(cut, 0))], 0
+        else:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def in_pieces(member: DataFrame, keys: list[str], item: str, most: Column) -> DataFrame:
+    """member with deal: the group (keys) of each item, and if that has more than most items, a pair of pieces of it.
+
+    Any two items of a group meet under some deal, and no deal has much more than twice as many items as most says.
+    """
+    sizes = member.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_t", F.ceil(F.col("_n") / most)).where("_t > 1").select(*keys, "_t")
+    sized = member.join(sizes, keys, "left").withColumn("_t", F.coalesce("_t", F.lit(1))).withColumn("_p", F.pmod(F.xxhash64(item), F.col("_t")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_t") - 1), lambda q: F.xxhash64(*keys, F.least("_p", q), F.greatest("_p", q)))
+    return sized.withColumn("deal", F.explode(meets)).drop("_t", "_p")

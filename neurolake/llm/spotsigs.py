@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurolake.llm import _frames, _links, _text
+from neurolake.llm import _frames, _links, _minhash, _text
 
 CHAIN = 3
 SIMILARITY = 0.8
 #: bytes of text of a range of neighbours
 RANGE_BYTES = 32 << 20
+#: sets that are compared at once; a group of more is compared by pairs of pieces
+PIECE = 2_048
+#: bytes of hashes or classes that are broadcast at most; beyond, they are joined
+BROADCAST_BYTES = 48 << 20
 
 # Very common words of English, French, German and Spanish.
 ANCHORS = """
@@ -86,38 +91,131 @@ def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return got if got >= least else 0.0
 
 
-def with_signatures(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """docs with signatures (array<long>, a sorted set). Null is taken as the empty text."""
-    return _frames.add_columns(docs, [("signatures", "array<long>")], lambda b: {"signatures": pa.array([x.astype(np.int64) for x in signatures(_frames.text_column(b))], pa.list_(pa.int64()))}, keep)
+def _names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each fingerprint, as XXH64 and CRC-32 of its text."""
+    texts = [render(x).encode() for x in sets]
+    size = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(size)
+    return _text.xxh64(np.frombuffer(b"".join(texts), np.uint8), ends - size, ends).view(np.int64), np.array([zlib.crc32(t) for t in texts], np.int64)
+
+
+def _prefixes(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(key, set): the keys under which sets that are alike enough meet.
+
+    Sets are partitioned by length into classes of a ratio of 2, and one that may be like a longer one of the next class is in both.
+    Of two sets with a Jaccard likeness of at least so much, the first signatures, n - ceil(n * least) + 1 of n by a fixed hash order, share one.
+    """
+    n = np.array([len(x) for x in sets])
+    take = n - np.ceil(n * least - 1e-9).astype(np.int64) + 1
+    keys, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    low, high = (np.floor(np.log2(v + 1e-9)).astype(np.int64) for v in (n, np.floor(n / least + 1e-9)))
+    for i, x in enumerate(sets):
+        h = _text.mix(x.astype(np.uint64) + np.uint64(0x5851F42D))
+        first = np.partition(h, take[i] - 1)[: take[i]]
+        for c in {int(low[i]), int(high[i])}:
+            keys.append(_text.mix(first + np.uint64(c + 1)))
+            at.append(np.full(len(first), i))
+    return np.concatenate(keys), np.concatenate(at)
+
+
+def likeness_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(s, crc, component_id): the fingerprints, by their two hashes, that several rows have or that are linked, with the smallest doc_id of their component.
+
+    Fingerprints are linked at a Jaccard likeness of at least so much. Those that share a key of their length class form a group
+    named by its least; a group is compared whole, a large one by pairs of pieces, each set with those not reached yet only.
+    """
+    spark = _frames.ready(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, crc = _names(signatures(_frames.text_column(batch)))
+            yield pa.RecordBatch.from_arrays([_frames.text_column(batch, "doc_id"), pa.array(s), pa.array(crc)], names=["doc_id", "s", "crc"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = signatures(_frames.text_column(batch))
+            s, _ = _names(sets)
+            fresh = np.unique(s, return_index=True)[1]
+            key, at = _prefixes([sets[i] for i in fresh.tolist()], least)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s[fresh][at])], names=["key", "s"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _frames.runs(batches, "key"):
+            both = np.unique(np.stack([rows.column(c).to_numpy() for c in ("key", "s")]), axis=1)
+            head = np.flatnonzero(np.concatenate([[True], both[0, 1:] != both[0, :-1]]))
+            size = np.diff(np.append(head, both.shape[1]))
+            kept = np.repeat(size > 1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(both[1, head], size)[kept]), pa.array(both[1, kept])], names=["least", "s"])
+
+    marks = _frames.cut(docs.mapInArrow(mark, f"doc_id {kind}, s long, crc long"))
+    texts = docs.select("text")
+    member = _frames.cut(texts.mapInArrow(deal, "key long, s long").repartition("key").sortWithinPartitions("key").mapInArrow(walk, "least long, s long").distinct())
+    wanted = member.select("s").distinct()
+    n = wanted.count()
+    known = spark.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).combine_chunks().to_numpy()) if n else np.zeros(0, np.int64)) if 8 * n <= BROADCAST_BYTES else None
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = signatures(_frames.text_column(batch))
+            s, crc = _names(sets)
+            some = np.unique(s, return_index=True)[1]
+            if known is not None:
+                some = some[np.isin(s[some], known.value, assume_unique=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(s[some]), pa.array(crc[some]), pa.array([sets[i].tobytes() for i in some.tolist()], pa.binary())], names=["s", "crc", "load"])
+
+    sets = texts.mapInArrow(load, "s long, crc long, load binary").groupBy("s", "crc").agg(F.first("load").alias("load"))
+    dealt = _frames.in_pieces(member, ["least"], "s", F.lit(PIECE)).join(sets, "s").select("deal", "s", "crc", "load").repartition("deal").sortWithinPartitions("deal")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _frames.runs(batches, "deal"):
+            run, s, crc = (rows.column(c).to_numpy() for c in ("deal", "s", "crc"))
+            held = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in rows.column("load").to_pylist()]
+            cuts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1], [True]]))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                root = i + _minhash.clusters(held[i:j], least)
+                mine = np.arange(i, j)[root != np.arange(i, j)]
+                a.append(mine)
+                b.append(root[mine - i])
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(s[k]), pa.array(crc[k])], names=["s", "crc"]) for k in (np.concatenate(a), np.concatenate(b))], names=["a", "b"])
+        _frames.trim()
+
+    links = _frames.cut(dealt.mapInArrow(compare, "a struct<s:long,crc:long>, b struct<s:long,crc:long>"))
+    each = marks.groupBy("s", "crc").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    comp = _links.components(links).select(F.col("node.s").alias("s"), F.col("node.crc").alias("crc"), "component")
+    rooted = _frames.cut(each.join(comp, ["s", "crc"], "left").where("n > 1 or component is not null").withColumn("root", F.coalesce("component", F.struct("s", "crc"))).select("s", "crc", "least", "root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("s", "crc", "component_id")
+
+
+def with_component(rows: DataFrame, classes: DataFrame, text: str = "fingerprint") -> DataFrame:
+    """rows (doc_id, fingerprint as text, ...) with component_id, of likeness_classes(); a fingerprint without a class has its own row only."""
+    named = _frames.cut(classes).select(F.col("s").alias("_s"), F.col("crc").alias("_crc"), "component_id", F.lit(True).alias("_named"))
+    if 64 * named.count() <= BROADCAST_BYTES:
+        named = F.broadcast(named)
+    j = rows.join(named, (F.xxhash64(text) == F.col("_s")) & (F.crc32(text) == F.col("_crc")), "left")
+    return j.withColumn("component_id", F.when(F.col("_named"), F.col("component_id")).otherwise(F.col("doc_id"))).drop("_s", "_crc", "_named")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id, n_links): a row per row of docs. Sets of signatures are linked at a Jaccard likeness of at least so much.
+    """(doc_id, component_id): a row per row of docs; component_id is the smallest doc_id reachable over fingerprints of a Jaccard likeness of at least so much.
 
-    Equal sets meet first. Different ones are dealt by length class, a class spanning lengths of a ratio up to 1/least, and
-    compared with their own class and the next, over the rarest signatures only: two sets that are alike enough share one of
-    those. n_links counts the linked sets. A component's id is its smallest doc_id.
+    Null is taken as the empty text. A row without doc_id belongs to its component; a component of none but such rows has a null id.
     """
-    marked = _frames.cut(with_signatures(docs.select("doc_id", "text"), ["doc_id"]).withColumn("s", F.xxhash64("signatures")))
-    sets = marked.groupBy("s").agg(F.first("signatures").alias("signatures"), F.min("doc_id").alias("least"))
-    sets = _frames.cut(sets.withColumn("n", F.size("signatures")).withColumn("class", F.floor(F.log("n") / math.log(1 / least) + 1e-9)))
-    each = sets.select("s", "n", "class", F.explode("signatures").alias("sig"))
-    common = each.groupBy("sig").agg(F.count("*").alias("df"))
-    prefix = each.join(common, "sig").groupBy("s", "n", "class").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("o"))
-    prefix = prefix.select("s", "n", "class", F.explode(F.slice("o", 1, F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1))).alias("x")).select("s", "n", "class", F.col("x.sig").alias("sig"))
-    prefix = _frames.cut(prefix)
-    probe = prefix.select("sig", F.explode(F.array("class", F.col("class") + 1)).alias("class"), F.col("s").alias("a"), F.col("n").alias("na"))
-    pairs = probe.join(prefix, ["sig", "class"]).where("a <> s AND na >= 1").where(F.least("na", "n") >= F.greatest("na", "n") * least - 1e-9)
-    pairs = pairs.select(F.least("a", "s").alias("a"), F.greatest("a", "s").alias("b")).distinct()
-    left, right = sets.select(F.col("s").alias("a"), F.col("signatures").alias("sa")), sets.select(F.col("s").alias("b"), F.col("signatures").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = _frames.cut(pairs.join(left, "a").join(right, "b").where(both >= (F.size("sa") + F.size("sb") - both) * least - 1e-9).select("a", "b"))
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
-    comp = _links.components(links)
-    rooted = sets.select("s", "least").join(comp, F.col("s") == F.col("node"), "left").select("s", "least", F.coalesce("component", "s").alias("root"))
-    head = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(head, "root").join(degree.withColumnRenamed("a", "s"), "s", "left").select("s", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return marked.join(named, "s").select("doc_id", "component_id", "n_links")
+    docs = docs.select("doc_id", "text")
+    prints = _frames.add_columns(docs, [("fingerprint", "string")], lambda b: {"fingerprint": pa.array([render(x) for x in signatures(_frames.text_column(b))], pa.string())}, ["doc_id"])
+    return with_component(prints, likeness_classes(docs, least)).select("doc_id", "component_id")
+
+
+def _at_or_below(cuts: list[int], x: Column) -> Column:
+    """How many of the sorted boundaries lie at or below x: a coarse step over every so many'th, then a fine one."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    pack = lambda some: F.array(*[F.lit(c).cast("long") for c in some])
+    coarse = F.size(F.filter(pack(cuts[::step]), lambda c: c <= x))
+    fine = F.size(F.filter(F.element_at(F.array(*[pack(cuts[i : i + step]) for i in range(0, len(cuts), step)]), F.greatest(coarse, F.lit(1))), lambda c: c <= x))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
 
 
 def edit_trial(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -133,8 +231,7 @@ def edit_trial(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n = max(1, min(10_000, max(-(-size // range_bytes), 2 * _frames.partitions(spark))))
     cuts = sorted(set((rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).head()[0] if n > 1 else None) or []))
-    # a few thousand boundaries at most: how many lie at or below the id
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    bucket = _at_or_below(cuts, F.col("doc_id"))
     placed = rows.withColumn("k", F.when(F.col("doc_id").isNull(), 0).otherwise(bucket))
     heads = [(r["k"], r["at"]) for r in placed.groupBy("k").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), F.xxhash64("text").alias("s"))).alias("at")).orderBy("k").collect()]
     if not heads:
@@ -187,8 +284,9 @@ def edit_trial(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts, with likenesses."""
-    return edit_trial(_frames.table(spark, sf_dir, "documents"))
+    """Fingerprints of all documents and of their edited texts, with likenesses, and the component of near duplicates of each."""
+    docs = _frames.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_component(edit_trial(docs), likeness_classes(docs))
 
 
 QUERIES = {"op2_spotsigs": op2_spotsigs}

@@ -184,23 +184,25 @@ def test_spotsigs(spark, texts):
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
 
 
-def test_spotsigs_near_duplicates(spark, texts):
-    base = [prose(200) for _ in range(6)]
+def test_spotsigs_near_duplicates(spark, texts, monkeypatch):
+    rng = random.Random(12)
+    base = [prose(200, rng) for _ in range(6)]
+    base += [" ".join(rng.choice(VOCAB) if rng.random() < share else w for w in b.split()) for b in base for share in (0.01, 0.03, 0.05)]
     near = base + [b + " the end" for b in base] + [base[0].replace("the", "a")] + texts
     got = {r["doc_id"]: r for r in spotsigs.near_duplicates(table(spark, near)).collect()}
     s = [set(x.tolist()) for x in spotsigs.signatures(pa.array([t or "" for t in near]))]
     comp = list(range(len(near)))
-    links = Counter()
-    distinct = {frozenset(x) for x in s}
-    for a in distinct:
-        links[a] = sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in distinct) - 1
     for i in range(len(near)):
         for j in range(i):
             if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) - 1e-9:
                 a, b = comp[i], comp[j]
                 comp = [min(a, b) if c in (a, b) else c for c in comp]
     assert [got[i]["component_id"] for i in range(len(near))] == comp
-    assert [got[i]["n_links"] for i in range(len(near))] == [links[frozenset(x)] for x in s]
+    monkeypatch.setattr(spotsigs, "PIECE", 2)
+    monkeypatch.setattr(spotsigs, "BROADCAST_BYTES", 0)
+    assert {r["doc_id"]: r["component_id"] for r in spotsigs.near_duplicates(table(spark, near)).collect()} == dict(enumerate(comp))
+    query = spotsigs.with_component(spotsigs.edit_trial(table(spark, near)), spotsigs.likeness_classes(table(spark, near)))
+    assert {r["doc_id"]: r["component_id"] for r in query.collect()} == dict(enumerate(comp))
 
 
 def test_licenses(spark):
