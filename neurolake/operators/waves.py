@@ -87,8 +87,8 @@ def detect(x: np.ndarray, fs: float, band: tuple[float, float] = (0.5, 4.0), amp
     h = round(fs / (2 * band[1]))
 
     def refine(at: np.ndarray, sign: float) -> np.ndarray:
-        first = np.clip(at - h, 0, max(0, len(x) - 2 * h - 1))
-        return np.array([a + int(np.argmax(sign * steady[a : a + 2 * h + 1])) for a in first], int)
+        """The extreme of the 2h + 1 samples from h before on; less at the end of the signal."""
+        return np.array([a + int(np.argmax(sign * steady[a : a + 2 * h + 1])) for a in np.maximum(at - h, 0)], int)
 
     lo, hi = refine(lo, -1.0), refine(hi, 1.0)
     gate = (hi - lo) > fs / (2 * band[1])

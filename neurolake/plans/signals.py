@@ -278,6 +278,12 @@ def _(s, d):
     return spikes.envelope(ev(s, d).select("rec", F.lit(0).alias("ch"), "i", "x"), 200.0, core_s=1.0, window=0.1, step=0.05, k1=1.0)
 
 
+@query("envelope_discharges")
+def _(s, d):
+    e = spikes.envelope(ev(s, d).select((F.col("rec") % 10).alias("rec"), F.col("rec").cast("int").alias("ch"), "i", "x"), 200.0, core_s=1.0, window=0.1, step=0.05, k1=0.6, k2=0.8)
+    return spikes.discharges(e, 0.005)
+
+
 @query("notch_filtered")
 def _(s, d):
     return quality.filter_powerline(gaps(s, d), 256.0)

@@ -101,27 +101,42 @@ def test_waves_of_a_sine(band, f0):
     assert len(waves.detect(np.full(1000, np.nan), 500, band)["pk2pk"]) == 0
 
 
-def biphasic(times, fs=512, seconds=10, amp=600, seed=0):
-    t = np.arange(seconds * fs) / fs
-    x = np.random.default_rng(seed).normal(0, 20, len(t))
-    for at in times:
-        x += amp * (np.exp(-0.5 * ((t - at) / 0.008) ** 2) - 0.33 * np.exp(-0.5 * ((t - at - 0.03) / 0.008) ** 2) - 0.33 * np.exp(-0.5 * ((t - at + 0.03) / 0.008) ** 2))
+def sharp(rng, fs, seconds, events, noise):
+    """Noise with triangles of (time, height) and 16 ms to a side, each followed by a shallow swing the other way."""
+    x = rng.normal(0, noise, round(seconds * fs))
+    t = np.arange(len(x)) / fs
+    for at, height in events:
+        x += height * np.maximum(0, 1 - np.abs(t - at) / 0.016) - 0.25 * height * np.exp(-0.5 * ((t - at - 0.045) / 0.012) ** 2)
     return x
 
 
-def test_halfwave_spikes_found():
-    got = spikes.halfwave_spikes(biphasic([1, 3, 5, 7, 9]), 512)
-    assert sorted(round(s["peak_time"]) for s in got if min(abs(s["peak_time"] - a) for a in (1, 3, 5, 7, 9)) < 0.02) == [1, 3, 5, 7, 9]
-    assert len(spikes.halfwave_spikes(np.random.default_rng(1).normal(0, 20, 20 * 512), 512)) < 20
-
-
-def test_halfwave_of_unequal_channels(spark):
-    long, short = biphasic([1, 3, 5, 7, 9]), biphasic([1, 3], seconds=4, seed=1)
-    rows = [(0, ch, i + at, float(v)) for ch, at, x in ((0, 0, long), (3, 512, short)) for i, v in enumerate(x)]
-    df = spark.createDataFrame(rows, "rec long, ch int, i long, x double")
-    found = [(r["channel"], round(r["peak_time"])) for r in spikes.halfwave(df, 512.0).collect()]
-    assert {(0, t) for t in (1, 3, 5, 7, 9)} | {(3, 2), (3, 4)} <= set(found)
-    assert len(found) < 12
+def channels(spark, parts):
+    rows = [(0, ch, first + i, float(v)) for ch, first, x in parts for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "rec long, ch int, i long, x double")
+
+
+def test_halfwave_spikes_by_their_definition(spark):
+    rng, fs, reach = np.random.default_rng(7), 400, 20
+    events = {1: [(0.9, 500), (2.35, -450), (4.1, 650)], 4: [(1.5, -700), (3.3, 520)]}
+    parts = [(ch, first, sharp(rng, fs, sec, [(t - first / fs, h) for t, h in events[ch]], 12)) for ch, first, sec in ((1, 0, 5.0), (4, 200, 3.5))]
+    got = spikes.halfwave(channels(spark, parts), fs, total_amp=300, slope=3000, duration=0.006).collect()
+    for ch, want in events.items():
+        near = [(t, h) for t, h in want if any(r["channel"] == ch and abs(r["peak_time"] - t) < 0.01 and (r["peak_amp"] > 0) == (h > 0) for r in got)]
+        assert near == want
+    band = {ch: dsp.filtfilt(*dsp.butter(4, 80 / (fs / 2)), dsp.filtfilt(*dsp.butter(2, 1 / (fs / 2), "high"), x)) for ch, _, x in parts}
+    level = np.median([np.abs(v).mean() for v in band.values()])
+    for r in got:
+        first = dict((ch, f) for ch, f, _ in parts)[r["channel"]]
+        v, i = np.sign(r["peak_amp"]) * band[r["channel"]] * 70 / level, r["peak_index"] - first
+        left, right = v[max(0, i - reach) : i], v[i : i + reach + 1]
+        assert abs(v[i] - abs(r["peak_amp"])) < 1e-6 * abs(v[i])
+        assert abs(r["left_amp"] - (v[i] - left.min())) < 1e-6 and abs(r["right_amp"] - (v[i] - right.min())) < 1e-6
+        assert abs(r["left_dur"] - (len(left) - left.argmin()) / fs) < 1e-9 and abs(r["right_dur"] - right.argmin() / fs) < 1e-9
+        assert r["left_slope"] > 3000 and r["right_slope"] > 3000 and r["total_amp"] > 300
+    noise = channels(spark, [(0, 0, rng.normal(0, 12, 10 * fs))])
+    assert spikes.halfwave(noise, fs).count() < 10
+    spaced = spark.createDataFrame([(0, 0, i) for i in (1, 4, 9, 10, 30)], "rec int, ch int, i long")
+    assert sorted(r["i"] for r in spikes._spaced(spaced, 8, ("rec", "ch")).collect()) == [1, 9, 30]
 
 
 def test_halfwave_query_reads_whole_signals(spark):
@@ -131,17 +146,56 @@ def test_halfwave_query_reads_whole_signals(spark):
     assert got.where("peak_index >= 48").count() > 0
 
 
-def test_envelope_spikes_blocks_equal_whole(spark):
-    rng, fs = np.random.default_rng(2), 200
-    t = np.arange(60 * fs) / fs
-    x = rng.normal(0, 15, len(t))
-    for at in (10, 25, 40.5):
-        x += 300 * np.exp(-0.5 * ((t - at) / 0.02) ** 2) * np.cos(2 * np.pi * 30 * (t - at))
-    whole = spikes.envelope_events(x, fs)
-    assert all(any(abs(e["pos"] - at) < 0.1 for e in whole) for at in (10, 25, 40.5))
+def bursts(rng, fs, seconds, times):
+    t = np.arange(round(seconds * fs)) / fs
+    return rng.normal(0, 12, len(t)) + sum(250 * np.maximum(0, 1 - np.abs(t - at) / 0.04) * np.sin(2 * np.pi * 27 * (t - at) + 0.4) for at in times)
+
+
+@pytest.mark.parametrize("family,rate", [("cheby2", 200), ("butter", 200), ("fir", 200), ("cheby2", 250)])
+def test_envelope_spikes_in_blocks_are_those_of_the_whole(spark, family, rate):
+    rng, fs, times = np.random.default_rng(2), 250, (9.3, 22.8, 37.1, 51.6)
+    x = bursts(rng, fs, 60, times)
+    whole = spikes.envelope_events(x, fs, family=family, rate=rate)
+    assert all(any(abs(e["pos"] - at) < 0.05 for e in whole) for at in times) and len(whole) < 15
     df = spark.createDataFrame([("a", 0, i, float(v)) for i, v in enumerate(x)], "rec string, ch int, i long, x double")
-    got = spikes.envelope(df, fs, core_s=20).collect()
-    assert all(any(abs(e["pos"] - at) < 0.1 for e in got) for at in (10, 25, 40.5))
+    got = spikes.envelope(df, fs, core_s=20, family=family, rate=rate).collect()
+    strong = {round(e["pos"], 1) for e in whole if e["above"] > 20}
+    assert strong == {round(r["pos"], 1) for r in got if r["above"] > 20} and len(strong) >= 4
+
+
+def test_envelope_parts():
+    x = np.array([0.0, 1.5, 4, 6.5, 9, 11])
+    y = 2 - x + 0.5 * x**3
+    at = np.linspace(0, 11, 50)
+    assert np.abs(spikes._spline(x, y, at) - (2 - at + 0.5 * at**3)).max() < 1e-8
+    assert dsp.cheby2_order(0.6, 0.7, 6, 60) >= 8 and dsp.cheby2_order(0.1, 0.05, 6, 60) >= 6
+    env = np.array([0, 3, 5, 4, 0, 0, 6, 2, 0, 0, 0, 0, 0, 0, 0, 7, 8, 0], float)
+    assert spikes._tops(env, np.full(18, 1.0), 4).tolist() == [6, 16] and spikes._tops(env, np.full(18, 1.0), 2).tolist() == [2, 6, 16]
+    assert spikes._unite(env, np.array([2, 6, 16]), 5).tolist() == [6, 16]
+    assert spikes.envelope_events(np.zeros(4000), 200) == []
+    with pytest.raises(NotImplementedError):
+        spikes.envelope_events(np.ones(4000), 200, beta=15.0)
+    with pytest.raises(ValueError):
+        spikes.envelope_events(np.ones(4000), 200, k2=1.0)
+
+
+def test_discharges_of_channels(spark):
+    e = spark.createDataFrame([("a", 0, 1.0, 1.0, 0.9, 0.1, 5.0), ("a", 2, 1.004, 0.5, 0.8, 0.3, 7.0), ("a", 0, 1.008, 0.5, 0.7, 0.2, 9.0), ("a", 1, 3.0, 1.0, 0.6, 0.4, 1.0)], "rec string, ch int, pos double, con double, weight double, pdf double, above double")
+    got = {(r["event_id"], r["ch"]): (r["MV"], r["MA"], r["MW"], r["MPDF"], r["MP"], round(r["MD"], 6)) for r in spikes.discharges(e).collect()}
+    assert got == {(0, 0): (1.0, 9.0, 0.9, 0.2, 1.0, 0.013), (0, 2): (0.5, 7.0, 0.8, 0.3, 1.004, 0.013), (1, 1): (1.0, 1.0, 0.6, 0.4, 3.0, 0.005)}
+    some = spark.createDataFrame([("a", 0, 1.0, 1.0), ("a", 1, 1.005, 0.5), ("a", 1, 2.0, 0.5)], "rec string, ch int, pos double, con double")
+    assert spikes.accept_ambiguous(some).count() == 2
+
+
+def test_waves_at_the_ends_are_refined_in_what_is_there():
+    fs, band = 100, (0.5, 4.0)
+    h = round(fs / (2 * band[1]))
+    x = np.cumsum(np.random.default_rng(1).normal(size=400))
+    w = waves.detect(x, fs, band)
+    steady = x - x.mean()
+    steady = steady - dsp.bandpass_fft(steady, fs, 0, band[0])
+    assert len(w["min_pos"]) and all(steady[i] <= steady[max(0, i - h) : i + 1].min() + 1e-9 or i < h for i in w["min_pos"][:1].astype(int))
+    assert (w["max_pos"] < len(x)).all() and (w["min_pos"] >= 0).all()
 
 
 def test_crp_finds_duration_and_artifacts():
