@@ -144,15 +144,32 @@ def persistent_matrix(stay: float = 0.9, states: list[str] = STATES) -> np.ndarr
 def markov_decode(scores: DataFrame, keys: list[str], order: str, states: list[str], t: np.ndarray, start: str = "AWAKE") -> DataFrame:
     """(keys, order, state, and the corrected score of each class), epoch by epoch from the start state; a recording is the unit of work, being one recursion."""
     kept = scores.select(*keys, order, *states)
+    matrix, n = t.tolist(), len(states)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(order).reset_index(drop=True)
         s, out, names = states.index(start), [], []
-        for q in p[states].to_numpy(float):
-            s, o = markov_step(s, q, t)
+        for q in p[states].to_numpy(float).tolist():  # markov_step() in plain numbers, as rows are many and short
+            row = matrix[s]
+            away = sum(q[i] for i in range(n) if i != s)
+            prior = 1 - row[s]
+            den = away * prior + (1 - away) * (1 - prior)
+            c = away * prior / den if den > 0 else 0.0
+            r = [0.0 if i == s else q[i] * row[i] for i in range(n)]
+            whole = sum(r)
+            r = [x / whole for x in r] if whole > 0 else [0.0 if i == s else 1 / (n - 1) for i in range(n)]
+            if c > 0.5:
+                new = r.index(max(r))
+                o = [x * (1 - c) for x in r]
+                o[new], o[s] = c, 0.0
+                o[s] = 1 - sum(o)
+                s = new
+            else:
+                o = [x * c for x in r]
+                o[s] = 1 - c
             out.append(o)
             names.append(states[s])
-        p[states] = np.array(out).reshape(len(p), len(states))
+        p[states] = np.array(out).reshape(len(p), n)
         p.insert(len(keys) + 1, "state", names)
         return p
 

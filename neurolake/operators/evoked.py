@@ -13,26 +13,63 @@ from pyspark.sql import functions as F
 from neurolake.functions import dsp
 
 
-def _pairs(trials: DataFrame) -> DataFrame:
-    """Trials of a session meet on the sample, every ordered pair of different ones."""
-    a = trials.select("session", "i", F.col("trial").alias("a"), F.col("v").alias("va"))
-    b = trials.select("session", "i", F.col("trial").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, ["session", "i"]).where("a <> b")
+def _matrix(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(trials, their samples in rows) of a session; a trial without a sample has 0 there."""
+    wide = g.pivot(index="trial", columns="i", values="v").sort_index()
+    return wide.index.to_numpy(), np.nan_to_num(wide.sort_index(axis=1).to_numpy(float))
+
+
+#: trials of a session that are projected on all others at once
+BLOCK = 512
 
 
 def projections(trials: DataFrame) -> DataFrame:
-    """(session, a, b, s): trial b projected on the unit vector of trial a; a zero trial has norm one."""
-    norm = F.when(F.sum(F.col("va") * F.col("va")) == 0, 1.0).otherwise(F.sqrt(F.sum(F.col("va") * F.col("va"))))
-    return _pairs(trials).groupBy("session", "a", "b").agg((F.sum(F.col("va") * F.col("vb")) / norm).alias("s"))
+    """(session, a, b, s): trial b projected on the unit vector of trial a; a zero trial has norm one. A session is the unit of work, by blocks of its trials."""
+    kind, tk = (trials.schema[c].dataType.simpleString() for c in ("session", "trial"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        ids, x = _matrix(g)
+        norm = np.sqrt((x * x).sum(axis=1))
+        unit = x / np.where(norm == 0, 1, norm)[:, None]
+        s = unit @ x.T
+        a, b = np.nonzero(~np.eye(len(ids), dtype=bool))
+        return pd.DataFrame({"session": g["session"].iloc[0], "a": ids[a], "b": ids[b], "s": s[a, b]})
+
+    return trials.select("session", "trial", "i", "v").groupBy("session").applyInPandas(run, f"session {kind}, a {tk}, b {tk}, s double")
 
 
 def profile(trials: DataFrame, fs: float, n: int, first: int = 10, step: int = 5) -> DataFrame:
-    """(session, length, mean, var): mean and population variance over pairs of the projections, over sqrt(fs), of the first 10, 15, ... samples."""
-    w = W.partitionBy("session", "a", "b").orderBy("i")
-    p = _pairs(trials).select("session", "a", "b", "i", F.sum(F.col("va") * F.col("vb")).over(w).alias("ab"), F.sum(F.col("va") * F.col("va")).over(w).alias("aa"))
-    p = p.withColumn("length", F.col("i") + 1).where((F.col("length") >= first) & ((F.col("length") - first) % step == 0) & (F.col("length") < n))
-    s = F.col("ab") / F.when(F.col("aa") == 0, 1.0).otherwise(F.sqrt("aa")) / math.sqrt(fs)
-    return p.groupBy("session", "length").agg(F.avg(s).alias("mean"), F.var_pop(s).alias("var"))
+    """(session, length, mean, var): mean and population variance over pairs of the projections, over sqrt(fs), of the first 10, 15, ... samples.
+
+    Products of all trials of a session grow by the samples of each step, a block of trials at a time, so pairs are never rows.
+    """
+    kind = trials.schema["session"].dataType.simpleString()
+    lengths = np.arange(first, n, step)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        _, x = _matrix(g)
+        k = len(x)
+        lengths_here = lengths[lengths <= x.shape[1]]
+        total, squares, base = np.zeros(len(lengths_here)), np.zeros(len(lengths_here)), np.zeros(len(lengths_here))
+        for at in range(0, k, BLOCK):
+            mine = x[at : at + BLOCK]
+            gram, power, done = np.zeros((len(mine), k)), np.zeros(len(mine)), 0
+            for j, m in enumerate(lengths_here):
+                gram += mine[:, done:m] @ x[:, done:m].T
+                power += (mine[:, done:m] ** 2).sum(axis=1)
+                done = m
+                s = gram / np.where(power == 0, 1, np.sqrt(power))[:, None] / math.sqrt(fs)
+                s[np.arange(len(mine)), at + np.arange(len(mine))] = np.nan
+                if at == 0:
+                    base[j] = np.nanmean(s) if k > 1 else 0.0
+                total[j] += np.nansum(s - base[j])
+                squares[j] += np.nansum((s - base[j]) ** 2)
+        pairs = max(1, k * (k - 1))
+        mean = total / pairs
+        made = pd.DataFrame({"session": g["session"].iloc[0], "length": lengths_here, "mean": base + mean, "var": np.maximum(squares / pairs - mean**2, 0)})
+        return made if k > 1 else made.iloc[:0]
+
+    return trials.select("session", "trial", "i", "v").groupBy("session").applyInPandas(run, f"session {kind}, length long, mean double, var double")
 
 
 def duration(profile_: DataFrame) -> DataFrame:

@@ -203,19 +203,40 @@ def _(s, d):
     return classifiers.GaussianBayes(cols, "label", kernel=True).fit(e).scores(e, ["night"], "rec")
 
 
-@query(
-    "markov_decode",
-    f"""WITH RECURSIVE {sleeping.HY}, r AS (SELECT rec, annotation, row_number() OVER (PARTITION BY rec ORDER BY start_us) AS n FROM h),
-f AS (SELECT rec, CAST(0 AS BIGINT) AS n, 'AWAKE' AS s FROM r WHERE n = 1 UNION ALL
- SELECT r.rec, r.n, CASE WHEN r.annotation = f.s THEN f.s WHEN 0.98 * 0.1 / (0.98 * 0.1 + 0.02 * 0.9) > 0.5 THEN r.annotation ELSE f.s END FROM f JOIN r ON r.rec = f.rec AND r.n = f.n + 1)
-SELECT rec, n AS k, s AS state FROM f WHERE n > 0""",
-)
+def stage_scores(h: DataFrame, states: list[str]) -> DataFrame:
+    """(rec, k, a score for each stage, which add up to one): the scored stage weighs most, all vary with the event."""
+    k = F.row_number().over(W.partitionBy("rec").orderBy("start_us")).cast("long")
+    weight = [F.when(F.col("annotation") == x, 9).otherwise(1) + (F.col("event_id") * (i + 3)) % 7 for i, x in enumerate(states)]
+    return h.withColumn("k", k).select("rec", "k", "annotation", *[(w / sum(weight, F.lit(0))).alias(x) for w, x in zip(weight, states)])
+
+
+def _markov_sql() -> str:
+    t, states = classifiers.default_matrix(), classifiers.STATES
+    every = range(len(states))
+    weight = [f"(CASE WHEN annotation = '{x}' THEN 9 ELSE 1 END + (event_id * {i + 3}) % 7)" for i, x in enumerate(states)]
+    of = lambda values: "CASE s " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+    q = [f"q{i}" for i in every]
+    row = [of([repr(float(t[j, i])) for j in every]) for i in every]
+    stay = of([repr(float(t[j, j])) for j in every])
+    made = ", ".join(f"CASE WHEN s = {i} THEN 0 ELSE q{i} * {row[i]} END AS p{i}" for i in every)
+    share = ", ".join(f"CASE WHEN ps > 0 THEN p{i} / ps WHEN s = {i} THEN 0 ELSE 1 / {len(states) - 1}.0 END AS r{i}" for i in every)
+    best = "CASE " + " ".join(f"WHEN r{i} = greatest({', '.join(f'r{j}' for j in every)}) THEN {i}" for i in every) + " END"
+    moved = [f"CASE WHEN {i} = best THEN c WHEN {i} = s THEN 0 ELSE r{i} * (1 - c) END" for i in every]
+    out = ", ".join(f"CASE WHEN c > 0.5 THEN CASE WHEN {i} = s THEN 1 - ({' + '.join(moved)}) ELSE {moved[i]} END WHEN {i} = s THEN 1 - c ELSE r{i} * c END AS o{i}" for i in every)
+    names = ", ".join(f"o{i}" for i in every)
+    return f"""WITH RECURSIVE {sleeping.HY}, w AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY start_us) AS n, {", ".join(f"{x} AS w{i}" for i, x in enumerate(weight))} FROM h),
+r AS (SELECT rec, n, {", ".join(f"w{i} * 1.0 / ({' + '.join(f'w{j}' for j in every)}) AS q{i}" for i in every)} FROM w),
+f AS (SELECT rec, CAST(0 AS BIGINT) AS n, 0 AS s, {", ".join(f"CAST(0 AS DOUBLE) AS o{i}" for i in every)} FROM r WHERE n = 1 UNION ALL
+ SELECT rec, n, CASE WHEN c > 0.5 THEN best ELSE s END, {out} FROM (SELECT *, {best} AS best FROM (SELECT *, {share} FROM (SELECT *, {" + ".join(f"p{i}" for i in every)} AS ps, CASE WHEN away * prior + (1 - away) * (1 - prior) > 0 THEN away * prior / (away * prior + (1 - away) * (1 - prior)) ELSE 0 END AS c
+  FROM (SELECT r.rec, r.n, f.s, {", ".join(q)}, {" + ".join(f"CASE WHEN s = {i} THEN 0 ELSE q{i} END" for i in every)} AS away, 1 - {stay} AS prior, {made} FROM f JOIN r ON r.rec = f.rec AND r.n = f.n + 1)))))
+SELECT rec, n AS k, CASE s {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(states))} END AS state, {", ".join(f"round(o{i}, 7) AS {x}" for i, x in enumerate(states))} FROM f WHERE n > 0"""
+
+
+@query("markov_decode", _markov_sql())
 def _(s, d):
-    # the scored stage has 0.92, the other four 0.02 each
     states = classifiers.STATES
-    h = sleeping.hy(s, d).withColumn("k", F.row_number().over(W.partitionBy("rec").orderBy("start_us")).cast("long"))
-    scored = h.select("rec", "k", *[F.when(F.col("annotation") == x, 0.92).otherwise(0.02).alias(x) for x in states])
-    return classifiers.markov_decode(scored, ["rec"], "k", states, classifiers.persistent_matrix()).select("rec", "k", "state")
+    got = classifiers.markov_decode(stage_scores(sleeping.hy(s, d), states), ["rec"], "k", states, classifiers.default_matrix())
+    return rounded(got, *states, digits=7).select("rec", "k", "state", *states)
 
 
 def wide(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:

@@ -46,12 +46,17 @@ def _(s, d):
     return sleep.data_rate(hg(s, d)).withColumn("data_rate", F.round("data_rate", 6))
 
 
-_ON = f"""b AS (SELECT *, lag(annotation) OVER (PARTITION BY rec ORDER BY start_us) AS before,
+def _on(h: str) -> str:
+    """What lies before and ahead of each row of h, and the onset."""
+    return f"""b AS (SELECT *, lag(annotation) OVER (PARTITION BY rec ORDER BY start_us) AS before,
   coalesce(sum(CASE WHEN annotation = 'AWAKE' THEN duration END) OVER v, 0) AS wake, coalesce(sum(CASE WHEN {ASLEEP} THEN duration END) OVER v, 0) AS slept
-  FROM h WINDOW v AS (PARTITION BY rec ORDER BY start_us RANGE BETWEEN CURRENT ROW AND {2 * DAY * 10**6 - 1} FOLLOWING)),
+  FROM {h} WINDOW v AS (PARTITION BY rec ORDER BY start_us RANGE BETWEEN CURRENT ROW AND {2 * DAY * 10**6 - 1} FOLLOWING)),
 o AS (SELECT rec, coalesce(min(CASE WHEN {ASLEEP} AND (before IS NULL OR before = 'AWAKE') AND wake < {DAY // 4} THEN start_us END), min(start_us)) AS onset_us FROM b GROUP BY rec)"""
 
 
+_ON = _on("h")
+
+
 @query("sleep_onset", f"WITH {HY}, {_ON} SELECT rec, onset_us FROM o")
 def _(s, d):
     return sleep.sleep_onset(hy(s, d), 2 * DAY, DAY // 4)
@@ -60,7 +65,10 @@ def _(s, d):
 _WAKES = f"((annotation = 'AWAKE' AND before IN ('N', 'N1', 'N2', 'N3', 'REM', 'SLP')) OR (before IS NULL AND {ASLEEP}))"
 
 
-@query("final_awakening", f"WITH {HY}, {_ON} SELECT rec, coalesce(min(CASE WHEN {_WAKES} AND wake >= {DAY} AND slept <= {DAY // 2} THEN start_us END), CASE WHEN arg_max(annotation, start_us) = 'AWAKE' THEN max(CASE WHEN {_WAKES} THEN start_us END) ELSE max(end_us) END) AS awakening_us FROM b GROUP BY rec")
+_OFF = f"SELECT rec, coalesce(min(CASE WHEN {_WAKES} AND wake >= {DAY} AND slept <= {DAY // 2} THEN start_us END), CASE WHEN arg_max(annotation, start_us) = 'AWAKE' THEN max(CASE WHEN {_WAKES} THEN start_us END) ELSE max(end_us) END) AS awakening_us FROM b GROUP BY rec"
+
+
+@query("final_awakening", f"WITH {HY}, {_ON} {_OFF}")
 def _(s, d):
     return sleep.final_awakening(hy(s, d), 2 * DAY, DAY, DAY // 2)
 
@@ -107,9 +115,35 @@ def _(s, d):
     return sleep.stage_times(hy(s, d), STATES).select("rec", *[F.round(x, 3).alias(x) for x in STATES])
 
 
-@query("night_score")
+def _numbered(h: str, where: str = "") -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY rec ORDER BY start_us) AS n FROM {h} {where}"
+
+
+_MERGED = "l AS (SELECT *, lag(annotation) OVER w AS pa, lag(end_us) OVER w AS pe FROM h WINDOW w AS (PARTITION BY rec ORDER BY start_us)), g AS (SELECT *, sum(CASE WHEN annotation = pa AND start_us = pe THEN 0 ELSE 1 END) OVER (PARTITION BY rec ORDER BY start_us) AS g FROM l), m AS (SELECT rec, annotation, min(start_us) AS start_us, max(end_us) AS end_us, (max(end_us) - min(start_us)) / 1e6 AS duration FROM g GROUP BY rec, annotation, g)"
+
+
+@query(
+    "night_score",
+    f"""WITH RECURSIVE {HY}, {_MERGED}, {_on("m")}, off AS ({_OFF}),
+nt AS (SELECT m.* FROM m JOIN o USING (rec) JOIN off USING (rec) WHERE start_us >= onset_us AND start_us < awakening_us),
+rr AS ({_numbered("nt", "WHERE annotation = 'REM'")}),
+rc AS (SELECT rec, n, end_us AS last, CAST(1 AS BIGINT) AS c FROM rr WHERE n = 1 UNION ALL
+ SELECT rr.rec, rr.n, CASE WHEN rr.start_us - rc.last >= {3 * DAY * 10**6} THEN rr.end_us ELSE rc.last END, CASE WHEN rr.start_us - rc.last >= {3 * DAY * 10**6} THEN rc.c + 1 ELSE rc.c END FROM rc JOIN rr ON rr.rec = rc.rec AND rr.n = rc.n + 1),
+ar AS ({_numbered("nt")}),
+aw AS (SELECT rec, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS c, false AS slept, false AS awake FROM ar WHERE n = 1 UNION ALL
+ SELECT rec, n, c + CASE WHEN sl AND up THEN 1 ELSE 0 END, sl AND NOT (sl AND up), up AND NOT (sl AND up) FROM (
+  SELECT ar.rec, ar.n, aw.c, aw.slept OR ar.{ASLEEP} AS sl, CASE WHEN ar.annotation = 'AWAKE' THEN true WHEN ar.annotation <> 'N1' THEN false ELSE aw.awake END AS up FROM aw JOIN ar ON ar.rec = aw.rec AND ar.n = aw.n + 1)),
+fr AS (SELECT rec, min(start_us) AS rem_us FROM nt WHERE annotation = 'REM' GROUP BY rec),
+wk AS (SELECT rec, max(CASE WHEN annotation = 'AWAKE' AND end_us <= rem_us THEN end_us END) AS w FROM nt JOIN fr USING (rec) GROUP BY rec),
+cy AS (SELECT rec, max(c) AS c FROM rc GROUP BY rec), ac AS (SELECT rec, max(c) AS c FROM aw GROUP BY rec),
+sm AS (SELECT rec, {", ".join(f"coalesce(sum(CASE WHEN annotation = '{x}' THEN duration END), 0) AS {x}" for x in STATES)} FROM nt GROUP BY rec)
+SELECT o.rec, onset_us, awakening_us, CASE WHEN sm.rec IS NOT NULL THEN coalesce(cy.c, 0) END AS rem_cycles, ac.c AS awakenings, round((rem_us - onset_us) / 1e6, 3) AS from_onset_s, round((rem_us - w) / 1e6, 3) AS from_awake_s,
+  {", ".join(f"round({x}, 3) AS {x}" for x in STATES)}
+FROM o JOIN off USING (rec) LEFT JOIN sm ON sm.rec = o.rec LEFT JOIN cy ON cy.rec = o.rec LEFT JOIN ac ON ac.rec = o.rec LEFT JOIN fr ON fr.rec = o.rec LEFT JOIN wk ON wk.rec = o.rec""",
+)
 def _(s, d):
-    return sleep.night_score(hy(s, d), 2 * DAY, DAY // 4, 2 * DAY, DAY, DAY // 2, 3 * DAY)
+    got = sleep.night_score(hy(s, d), 2 * DAY, DAY // 4, 2 * DAY, DAY, DAY // 2, 3 * DAY)
+    return got.withColumns({c: F.round(c, 3) for c in ("from_onset_s", "from_awake_s", *STATES)})
 
 
 _FULL = "CROSS JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a in STATES for b in STATES) + ") AS q(from_state, to_state)"
@@ -189,6 +223,23 @@ def _(s, d):
     return sleep.correct_rem(hg(s, d), DAY // 4, DAY // 8)
 
 
-@query("correct_hypnogram")
+def _gaps(h: str) -> str:
+    return f"SELECT *, coalesce(lag(annotation) OVER w, 'AWAKE') AS pa, lag(end_us) OVER w AS pe, coalesce(start_us - lag(end_us) OVER w > 0 AND start_us - lag(end_us) OVER w <= {DAY * 10**6}, false) AS hit FROM {h} WINDOW w AS (PARTITION BY rec ORDER BY start_us)"
+
+
+def _fill(h: str, stage: str, rule: str) -> str:
+    return f"SELECT rec, annotation, start_us, end_us, duration FROM ({_gaps(h)}) UNION ALL SELECT rec, '{stage}', pe, start_us, duration FROM ({_gaps(h)}) WHERE hit AND {rule}"
+
+
+@query(
+    "correct_hypnogram",
+    f"""WITH RECURSIVE {HG}, h1 AS (SELECT rec, annotation, CASE WHEN hit AND pa = annotation THEN pe ELSE start_us END AS start_us, end_us, CASE WHEN hit AND pa = annotation THEN (end_us - pe) / 1e6 ELSE duration END AS duration FROM ({_gaps("h")})),
+h2 AS ({_fill("h1", "AWAKE", "pa = 'AWAKE' AND annotation = 'REM'")}), h3 AS ({_fill("h2", "N", "pa IN ('N', 'N2', 'N3') AND annotation IN ('N', 'N2', 'N3')")}), h4 AS ({_fill("h3", "SLP", "pa <> 'AWAKE' AND annotation <> 'AWAKE'")}),
+r AS ({_numbered("h4")}),
+f AS (SELECT rec, CAST(0 AS BIGINT) AS n, 'AWAKE' AS s, CAST({DAY} AS DOUBLE) AS d, CAST(NULL AS BIGINT) AS e, CAST(NULL AS BIGINT) AS start_us, CAST(NULL AS DOUBLE) AS duration FROM r WHERE n = 1 UNION ALL
+ SELECT rec, n, s2, CASE WHEN s2 = 'AWAKE' THEN CASE WHEN s = 'AWAKE' THEN d ELSE 0 END + duration ELSE 0 END, end_us, start_us, duration FROM (
+  SELECT r.rec, r.n, f.s, f.d, r.end_us, r.start_us, r.duration, CASE WHEN r.annotation = 'REM' AND f.s = 'AWAKE' AND f.d >= {DAY} AND coalesce((r.start_us - f.e) / 1e6, 0) <= 60 THEN 'AWAKE' ELSE r.annotation END AS s2 FROM f JOIN r ON r.rec = f.rec AND r.n = f.n + 1))
+SELECT rec, s AS annotation, start_us, e AS end_us, duration FROM f WHERE n > 0""",
+)
 def _(s, d):
     return sleep.correct(hg(s, d), DAY)
