@@ -141,6 +141,37 @@ def persistent_matrix(stay: float = 0.9, states: list[str] = STATES) -> np.ndarr
     return stability_matrix(np.ones((len(states), len(states))), np.full(len(states), stay))
 
 
+def change_prior(t: np.ndarray, state: int) -> float:
+    """The chance that the state is left."""
+    return float(1 - t[state, state] / t[state].sum())
+
+
+def change_posterior(t: np.ndarray, state: int, q: np.ndarray) -> float:
+    """The chance that the state is left, given the class scores."""
+    prior, away = change_prior(t, state), 1 - q[state]
+    return float(prior * away / (prior * away + (1 - prior) * (1 - away)))
+
+
+def target_priors(t: np.ndarray, state: int) -> np.ndarray:
+    """The chances of the other states if the state is left."""
+    row = np.where(np.arange(len(t)) == state, 0.0, t[state])
+    return row / row.sum()
+
+
+def target_posteriors(t: np.ndarray, state: int, q: np.ndarray) -> np.ndarray:
+    """The chances of the other states if the state is left, given the class scores."""
+    row = target_priors(t, state) * q
+    return row / row.sum()
+
+
+def scale_certainty(t: np.ndarray, certainty: dict[int, float]) -> np.ndarray:
+    """t with the chances to stay times the given certainties, rows made to sum to one."""
+    out = np.array(t, float)
+    for state, c in certainty.items():
+        out[state, state] *= c
+    return out / out.sum(axis=1, keepdims=True)
+
+
 def markov_decode(scores: DataFrame, keys: list[str], order: str, states: list[str], t: np.ndarray, start: str = "AWAKE") -> DataFrame:
     """(keys, order, state, and the corrected score of each class), epoch by epoch from the start state; a recording is the unit of work, being one recursion."""
     kept = scores.select(*keys, order, *states)

@@ -177,3 +177,22 @@ def crp(trials: DataFrame, fs: float, prune: bool = False, coeff: float = 3.5, m
 
     return trials.groupBy("session").applyInPandas(run, f"session {kind}, trial {tk}, length long, tau_r double, al double, al_p double, vsnr double, expl_var double, t_dur double, p_dur double, p_full double")
 
+
+def traces(trials: DataFrame) -> DataFrame:
+    """(session, i, average, deviation): over the trials, of each sample."""
+    return trials.groupBy("session", "i").agg(F.avg("v").alias("average"), F.stddev_pop("v").alias("deviation"))
+
+
+def responses(trials: DataFrame, fs: float, prune: bool = False, coeff: float = 3.5, min_trials: int = 5) -> DataFrame:
+    """(session, trial, i, fitted, residual): the fitted response of each trial kept, 0 after the duration, and what is left of the trial."""
+    kind, tk = (trials.schema[c].dataType.simpleString() for c in ("session", "trial"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        wide = g.pivot(index="i", columns="trial", values="v").sort_index()
+        got = parameterise(wide.to_numpy(float), wide.index.to_numpy(float) / fs, prune, coeff, min_trials)
+        fitted = np.outer(got["erp"], got["al"])
+        ids = wide.columns.to_numpy()[got["kept"]]
+        rest = wide[ids].to_numpy(float) - fitted
+        return pd.DataFrame({"session": g["session"].iloc[0], "trial": np.tile(ids, len(wide)), "i": np.repeat(wide.index.to_numpy(), len(ids)), "fitted": fitted.reshape(-1), "residual": rest.reshape(-1)})
+
+    return trials.groupBy("session").applyInPandas(run, f"session {kind}, trial {tk}, i long, fitted double, residual double")

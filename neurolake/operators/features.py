@@ -39,6 +39,42 @@ class RunningZScore:
         return batch.withColumns({c: F.try_divide(F.col(c) - F.lit(m), F.nullif(F.lit(s), F.lit(0.0))) for c, (_, m, s) in self.state.items()})
 
 
+class ZScore:
+    """Scales by the mean and population deviation of training rows; with a label, by those of each class, one column for each feature and class.
+
+    The state is one aggregate: (mean, deviation) by class, None without a label. A feature without spread gives nulls.
+    """
+
+    def __init__(self, columns: list[str], label: str | None = None):
+        self.columns, self.label = columns, label
+
+    def fit(self, df: DataFrame) -> ZScore:
+        stats = [f(c).alias(f"{n}{i}") for i, c in enumerate(self.columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+        rows = (df.groupBy(self.label) if self.label else df).agg(*stats).collect()
+        of = lambda r: [(r[f"m{i}"], r[f"s{i}"]) for i in range(len(self.columns))]
+        self.state = {r[self.label] if self.label else None: of(r) for r in sorted(rows, key=lambda r: str(r[0]) if self.label else "")}
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        name = lambda c, k: c if k is None else f"{c}_{k}"
+        return df.withColumns({name(c, k): F.try_divide(F.col(c) - F.lit(m), F.nullif(F.lit(s), F.lit(0.0))) for k, stats in self.state.items() for c, (m, s) in zip(self.columns, stats)})
+
+
+def remove_features(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df without the feature columns."""
+    return df.drop(*columns)
+
+
+def remove_samples(df: DataFrame, where: Column) -> DataFrame:
+    """df without the rows for which the condition holds; an undefined condition holds not."""
+    return df.where(~F.coalesce(where, F.lit(False)))
+
+
+def replace_labels(df: DataFrame, label: str, old: list[str], new: str) -> DataFrame:
+    """df with every old label replaced by the new one."""
+    return df.withColumn(label, F.when(F.col(label).isin(*old), F.lit(new)).otherwise(F.col(label)))
+
+
 def augment(df: DataFrame, columns: list[str], operation: str) -> DataFrame:
     """df with a column for each feature (ln, log10, sqrt, square) or for each pair in order (+, -, *, /), named op_name or a_op_b; undefined values are null."""
     unary = {"ln": lambda c: F.when(c > 0, F.ln(c)), "log10": lambda c: F.when(c > 0, F.log10(c)), "sqrt": lambda c: F.when(c >= 0, F.sqrt(c)), "square": lambda c: c * c}
@@ -59,17 +95,22 @@ def pairwise_augment(df: DataFrame, columns: list[str]) -> DataFrame:
     return augment(augment(df, columns, "/"), columns, "*")
 
 
-def balance(df: DataFrame, label: str, order: list[str]) -> DataFrame:
+def balance(df: DataFrame, label: str, order: list[str], noise: dict[str, float] | None = None, seed: int = 1) -> DataFrame:
     """df with copies of the rows of smaller classes, in order and round and round, until all classes have as many; copy is 0 for originals.
 
-    A class of n rows grows by its own size several times, so each row says how often it is copied; rows of a class are numbered by a window over it."""
+    A class of n rows grows by its own size several times, so each row says how often it is copied; rows of a class are numbered by a window over it.
+    noise: for features, the deviation of what is added to copies, as a part of that of the class."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     most = n.agg(F.max("_n").alias("_m"))
     w = W.partitionBy(label).orderBy(*order)
     j = df.withColumn("_r", F.row_number().over(w) - 1).join(F.broadcast(n), label).crossJoin(F.broadcast(most))
     extra = F.col("_m") - F.col("_n")
     copies = F.floor(extra / F.col("_n")) + F.when(F.col("_r") < extra % F.col("_n"), 1).otherwise(0)
-    return j.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies))).select(*df.columns, "copy")
+    out = j.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
+    if noise:
+        spread = df.groupBy(label).agg(*[F.stddev_pop(c).alias(f"_s_{c}") for c in noise])
+        out = out.join(F.broadcast(spread), label).withColumns({c: F.when(F.col("copy") > 0, F.col(c) + F.randn(seed + k) * F.col(f"_s_{c}") * f).otherwise(F.col(c)) for k, (c, f) in enumerate(noise.items())})
+    return out.select(*df.columns, "copy")
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -118,26 +159,79 @@ def scores(df: DataFrame, truth: str, guess: str, unknown: str = "UNKNOWN") -> D
     return classes.unionByName(total).unionByName(lost)
 
 
+#: ranges of scores over which running sums are made
+RANGES = 64
+
+
+def _counted(df: DataFrame, label: str, score: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, s, p, n, all_p, all_n, tp, fp, below): of each distinct score its positive and negative rows, all of them, those at or above it, the negative ones below it.
+
+    Scores are dealt to ranges; running sums go over the totals of the ranges, of which there are few, and inside each range.
+    """
+    by = df.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
+    cuts = sorted(set(df.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).head()[0] or []))
+    dealt = by.withColumn("_r", F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col("s"))) if cuts else F.lit(0))
+    sums = dealt.groupBy(*keys, "_r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
+    group = [*keys] or [F.lit(0)]
+    ahead, whole = W.partitionBy(*group).orderBy("_r").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*group)
+    sums = sums.select(*keys, "_r", *[F.coalesce(F.sum(c).over(ahead), F.lit(0.0)).alias(f"{c}0") for c in ("rp", "rn")], F.sum("rp").over(whole).alias("all_p"), F.sum("rn").over(whole).alias("all_n"))
+    inside = W.partitionBy(*keys, "_r").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    run = dealt.select(*keys, "_r", "s", "p", "n", *[F.coalesce(F.sum(c).over(inside), F.lit(0.0)).alias(f"{c}0") for c in ("p", "n")])
+    j = run.join(F.broadcast(sums), [*keys, "_r"])
+    return j.select(*keys, "s", "p", "n", "all_p", "all_n", (F.col("all_p") - F.col("rp0") - F.col("p0")).alias("tp"), (F.col("all_n") - F.col("rn0") - F.col("n0")).alias("fp"), (F.col("rn0") + F.col("n0")).alias("below"))
+
+
 def roc_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(threshold, tpr, fpr, stability): of all scores as thresholds the one with the greatest sqrt((1 - fpr)^2 + tpr^2), the highest of equals; stability is 1 less it.
-
-    Labels are counted by distinct score first; the running sums are over those."""
-    by = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
-    w = W.orderBy(F.desc("threshold"))
-    run = by.select("threshold", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
-    all_ = by.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
-    r = run.crossJoin(F.broadcast(all_)).select("threshold", F.try_divide("tp", "P").alias("tpr"), F.try_divide("fp", "N").alias("fpr"))
+    """(threshold, tpr, fpr, stability): of all scores as thresholds the one with the greatest sqrt((1 - fpr)^2 + tpr^2), the highest of equals; stability is 1 less it."""
+    r = _counted(df, label, score).select(F.col("s").alias("threshold"), F.try_divide("tp", "all_p").alias("tpr"), F.try_divide("fp", "all_n").alias("fpr"))
     best = r.agg(F.max(F.struct(F.round(F.sqrt((1 - F.col("fpr")) ** 2 + F.col("tpr") ** 2), 12).alias("q"), "threshold", "tpr", "fpr")).alias("e"))
     return best.select("e.threshold", "e.tpr", "e.fpr", (1 - F.col("e.threshold")).alias("stability"))
 
 
-def auroc_ap(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(auroc, ap): by rank sums with ties halved, and by precision over the falling distinct scores."""
-    by = df.groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
-    up, down = W.orderBy(score).rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc(score))
-    r = by.select("p", "n", F.coalesce(F.sum("n").over(up), F.lit(0.0)).alias("below"), F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
-    s = r.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("a"))
-    return s.select(F.try_divide(F.col("u"), F.col("P") * F.col("N")).alias("auroc"), F.try_divide("a", "P").alias("ap"))
+def auroc_ap(df: DataFrame, label: str, score: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, auroc, ap): by rank sums with ties halved, and by precision over the falling distinct scores."""
+    r = _counted(df, label, score, keys)
+    s = r.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("sum_p"), F.sum("n").alias("sum_n"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("a"))
+    return s.select(*keys, F.try_divide(F.col("u"), F.col("sum_p") * F.col("sum_n")).alias("auroc"), F.try_divide("a", "sum_p").alias("ap"))
+
+
+def compare_datasets(df: DataFrame, dataset: str, label: str, columns: list[str]) -> DataFrame:
+    """(a, b, class, loglikelihood, auroc, ap) of every ordered pair of data sets: b's rows, scaled by a's mean and deviation, under the kernel density of a's
+    rows of a class: their mean log density, and how well it tells b's rows of that class; class 'all' is the density of all of a's rows.
+
+    All rows of df are kernels and held by each task; more than MAX_KERNELS are an error, as in kde_log_likelihood().
+    """
+    n = df.count()
+    if n > MAX_KERNELS:
+        raise ValueError(f"at most {MAX_KERNELS} kernels")
+    rows = df.select(dataset, label, *columns).dropna().collect()
+    names, y = np.array([str(r[0]) for r in rows]), np.array([str(r[1]) for r in rows])
+    x = np.array([[float(v) for v in r[2:]] for r in rows]).reshape(len(rows), len(columns))
+    kernels = {}
+    for a in sorted(set(names.tolist())):
+        mine = x[names == a]
+        mean, dev = mine.mean(axis=0), mine.std(axis=0)
+        z = (mine - mean) / np.where(dev > 0, dev, 1)
+        kernels[a] = (mean, np.where(dev > 0, dev, 1), {"all": z} | {c: z[y[names == a] == c] for c in sorted(set(y[names == a].tolist()))})
+    shared = df.sparkSession.sparkContext.broadcast(kernels)
+    d = len(columns)
+
+    def run(parts):
+        for p in parts:
+            q = p[columns].to_numpy(float)
+            for a, (mean, dev, classes) in shared.value.items():
+                z = (q - mean) / dev
+                for c, k in classes.items():
+                    e = -0.5 * np.maximum((z**2).sum(axis=1)[:, None] + (k**2).sum(axis=1)[None] - 2 * z @ k.T, 0)
+                    top = e.max(axis=1)
+                    ll = top + np.log(np.exp(e - top[:, None]).sum(axis=1)) - np.log(len(k)) - d / 2 * np.log(2 * np.pi)
+                    yield pd.DataFrame({"a": a, "b": p["_d"], "class": c, "hit": (p["_y"] == c).astype("int64"), "ll": ll})
+
+    scored = df.select(F.col(dataset).cast("string").alias("_d"), F.col(label).cast("string").alias("_y"), *columns).dropna().mapInPandas(run, "a string, b string, class string, hit long, ll double")
+    keys = ("a", "b", "class")
+    mean = scored.groupBy(*keys).agg(F.avg("ll").alias("loglikelihood"))
+    told = auroc_ap(scored.where("class <> 'all'").withColumn("ll", F.round("ll", 9)), "hit", "ll", keys)
+    return mean.join(told, list(keys), "left")
 
 
 class PCA:

@@ -125,11 +125,28 @@ def stimulation_notches(fs: float, stimulation: int) -> list[tuple[float, float]
     return [(f, q) for f, q in found if f < fs / 2]
 
 
-def extract(epochs: DataFrame, fs: float, n: int, bands: Bands, features: tuple[str, ...] = ("mean_bands", "relative_bands"), ignore: Bands = (), keys: tuple[str, ...] = ("rec",)) -> DataFrame:  # type: ignore[assignment]
-    """Feature columns of epochs of n samples; the 0 Hz bin is left out. features: names of the builders of Spectrum, with _raw for unnormalised entropies."""
+def padded(epochs: DataFrame, n: int) -> DataFrame:
+    """epochs whose x is filled up with zeros to n samples."""
+    return epochs.withColumn("x", F.when(F.size("x") < n, F.concat(F.col("x"), F.array_repeat(F.lit(0.0), F.lit(n) - F.size("x")))).otherwise(F.col("x")))
+
+
+def extract(epochs: DataFrame, fs: float, n: int, bands: Bands, features: tuple = ("mean_bands", "relative_bands"), ignore: Bands = (), keys: tuple[str, ...] = ("rec",), prefilter: bool = False, stimulation: int | None = None, datarate: bool = False, pad: bool = False) -> DataFrame:  # type: ignore[assignment]
+    """Feature columns of epochs of n samples; the 0 Hz bin is left out.
+
+    features: names of the builders of Spectrum, with _raw for unnormalised entropies, or functions from a Spectrum to columns.
+    prefilter and stimulation (2 or 7 Hz) filter the epochs first, which also takes out their mean and fills missing samples; datarate adds
+    the share of valid samples, pad fills short epochs with zeros.
+    """
+    made: list[Column] = []
+    if pad:
+        epochs = padded(epochs, n)
+    if datarate:
+        epochs = epochs.withColumn("DATA_RATE", F.size(F.filter("x", lambda v: v.isNotNull() & ~F.isnan(v))) / F.lit(float(n)))
+        made.append(F.col("DATA_RATE"))
+    if prefilter or stimulation is not None:
+        epochs = preprocess(epochs, fs, bands, stimulation_notches(fs, stimulation) if stimulation is not None else [])
     psd = dsp.with_psd(epochs, fs).withColumn("psd", F.slice("psd", 2, n // 2))
     s = Spectrum(frequencies(fs, n), bands, ignore=ignore)
-    made: list[Column] = []
     for f in features:
-        made += getattr(s, f.removesuffix("_raw"))(*([False] if f.endswith("_raw") else []))
+        made += f(s) if callable(f) else getattr(s, f.removesuffix("_raw"))(*([False] if f.endswith("_raw") else []))
     return psd.select(*keys, *made)

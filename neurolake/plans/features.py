@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from neurolake.operators import classifiers, features, training
+from neurolake.operators import classifiers, features, staging, training
 from neurolake.plans import sleeping
 from neurolake.sources import tables
 
@@ -57,6 +57,22 @@ def _(s, d):
     return rounded(z.update(li(s, d).where("l_linenumber > 3")), "l_quantity").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
+_TRAINED = "m AS (SELECT l_returnflag AS k, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1)"
+
+
+@query("zscore_trained", f"WITH {_TRAINED} SELECT l_orderkey, l_linenumber, " + ", ".join(f"round((l_quantity - (SELECT m FROM m WHERE k = '{k}')) / (SELECT s FROM m WHERE k = '{k}'), 6) AS l_quantity_{k}" for k in "ANR") + " FROM lineitem WHERE l_linenumber > 3")
+def _(s, d):
+    z = features.ZScore(["l_quantity"], "l_returnflag").fit(li(s, d).where("l_linenumber <= 3"))
+    names = [f"l_quantity_{k}" for k in "ANR"]
+    return rounded(z.transform(li(s, d).where("l_linenumber > 3")), *names).select("l_orderkey", "l_linenumber", *names)
+
+
+@query("relabelled", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag IN ('A', 'R') THEN 'X' ELSE l_returnflag END AS l_returnflag, l_quantity FROM lineitem WHERE l_discount <= 0.05")
+def _(s, d):
+    df = features.remove_samples(features.remove_features(li(s, d), ["l_extendedprice"]), F.col("l_discount") > 0.05)
+    return features.replace_labels(df, "l_returnflag", ["A", "R"], "X").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+
+
 @query("log_features", "SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice), 6) AS ln_l_extendedprice, round(log10(nullif(l_discount, 0)), 6) AS log10_l_discount FROM lineitem")
 def _(s, d):
     df = features.augment(features.augment(li(s, d), ["l_extendedprice"], "ln"), ["l_discount"], "log10")
@@ -159,6 +175,23 @@ def _(s, d):
     return rounded(features.kde_log_likelihood(e.where("rec % 2 = 0"), e.where("rec % 2 = 1"), ["x0", "x1"], "rec"), "ll")
 
 
+@query(
+    "dataset_matrix",
+    """WITH v AS (SELECT CAST(vec_id % 2 AS VARCHAR) AS d, CAST(label % 3 AS VARCHAR) AS y, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1 FROM embeddings),
+m AS (SELECT d, avg(x0) AS m0, stddev_pop(x0) AS s0, avg(x1) AS m1, stddev_pop(x1) AS s1 FROM v GROUP BY d),
+k AS (SELECT v.d AS a, y, (x0 - m0) / s0 AS z0, (x1 - m1) / s1 AS z1 FROM v JOIN m USING (d)), kk AS (SELECT a, y AS class, z0, z1 FROM k UNION ALL SELECT a, 'all', z0, z1 FROM k),
+q AS (SELECT row_number() OVER () AS r, v.d AS b, v.y, x0, x1 FROM v), z AS (SELECT r, m.d AS a, b, y, (x0 - m0) / s0 AS z0, (x1 - m1) / s1 AS z1 FROM q, m),
+l AS (SELECT r, z.a, b, class, CASE WHEN y = class THEN 1 ELSE 0 END AS hit, ln(avg(exp(-((z.z0 - kk.z0) * (z.z0 - kk.z0) + (z.z1 - kk.z1) * (z.z1 - kk.z1)) / 2))) - ln(2 * pi()) AS ll FROM z JOIN kk ON kk.a = z.a GROUP BY r, z.a, b, class, y),
+c AS (SELECT a, b, class, round(ll, 9) AS s, sum(hit)::DOUBLE AS p, sum(1 - hit)::DOUBLE AS n FROM l WHERE class <> 'all' GROUP BY 1, 2, 3, 4),
+t AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY a, b, class ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(p) OVER (PARTITION BY a, b, class ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY a, b, class ORDER BY s DESC) AS fp FROM c),
+e AS (SELECT a, b, class, sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS auroc, sum(p * tp / (tp + fp)) / sum(p) AS ap FROM t GROUP BY a, b, class)
+SELECT x.a, x.b, x.class, round(x.v, 6) AS loglikelihood, round(auroc, 6) AS auroc, round(ap, 6) AS ap FROM (SELECT a, b, class, avg(ll) AS v FROM l GROUP BY a, b, class) x LEFT JOIN e ON e.a = x.a AND e.b = x.b AND e.class = x.class""",
+)
+def _(s, d):
+    e = emb4(s, d).select((F.col("rec") % 2).cast("string").alias("d"), (F.col("label") % 3).cast("string").alias("y"), "x0", "x1")
+    return rounded(features.compare_datasets(e, "d", "y", ["x0", "x1"]), "loglikelihood", "auroc", "ap")
+
+
 @query("pca_variance")
 def _(s, d):
     cols = [f"x{i}" for i in range(4)]
@@ -252,6 +285,27 @@ def _(s, d):
     return training.TrainingChain(cols, "label", ["rec"], select=4).fit(df).scores(df, ["night"], "rec")
 
 
+def signal_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(samples, labelled epochs): the vectors of a fifth as 64 samples each, one after the other; a stage for each by its label."""
+    e = tables.epochs(tables.read(s, d, "embeddings"))
+    stage = F.element_at(F.array(F.lit("AWAKE"), F.lit("N2"), F.lit("REM")), (F.col("label") % 3 + 1).cast("int"))
+    e = e.select((F.col("rec") % 5).alias("night"), F.floor(F.col("rec") / 5).alias("k"), stage.alias("annotation"), "x").withColumnRenamed("night", "rec")
+    samples = e.select("rec", F.posexplode("x").alias("p", "x"), "k").select("rec", (F.col("k") * 64 + F.col("p")).alias("i"), "x")
+    return samples, e
+
+
+@query("signal_hypnogram")
+def _(s, d):
+    samples, labelled = signal_of(s, d)
+    return staging.SignalModel(64.0, 1.0).fit(labelled).hypnogram(samples)
+
+
+@query("causal_hypnogram")
+def _(s, d):
+    samples, labelled = signal_of(s, d)
+    return staging.CausalModel(64.0, 1.0).fit(labelled, evaluations=60, popsize=5).hypnogram(samples)
+
+
 @query("stability_search")
 def _(s, d):
     states = classifiers.STATES

@@ -340,3 +340,23 @@ def _(s, d):
 @query("crp_full")
 def _(s, d):
     return evoked.crp(trials(s, d), FS)
+
+
+@query("crp_traces", f"WITH {EMB}, {TR} SELECT session, i, round(avg(v), 7) AS average, round(stddev_pop(v), 7) AS deviation FROM tr GROUP BY session, i")
+def _(s, d):
+    return rounded(evoked.traces(trials(s, d)), "average", "deviation", digits=7)
+
+
+@query("crp_responses")
+def _(s, d):
+    return evoked.responses(trials(s, d), FS)
+
+
+@query("spectral_prefiltered")
+def _(s, d):
+    return spectral.extract(ep(s, d), FS, 64, [(4.0, 10.0), (10.0, 16.0)], ("mean_bands", "relative_bands", "entropy_raw"), [(11.0, 13.0)], prefilter=True, stimulation=7, datarate=True, pad=True)
+
+
+@query("half_rate")
+def _(s, d):
+    return quality.halve_rate(gaps(s, d), 500.0)
