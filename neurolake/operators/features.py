@@ -191,8 +191,8 @@ def roc_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
 def auroc_ap(df: DataFrame, label: str, score: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, auroc, ap): by rank sums with ties halved, and by precision over the falling distinct scores."""
     r = _counted(df, label, score, keys)
-    s = r.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("sum_p"), F.sum("n").alias("sum_n"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("a"))
-    return s.select(*keys, F.try_divide(F.col("u"), F.col("sum_p") * F.col("sum_n")).alias("auroc"), F.try_divide("a", "sum_p").alias("ap"))
+    s = r.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("sum_p"), F.sum("n").alias("sum_n"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("area"))
+    return s.select(*keys, F.try_divide(F.col("u"), F.col("sum_p") * F.col("sum_n")).alias("auroc"), F.try_divide("area", "sum_p").alias("ap"))
 
 
 def compare_datasets(df: DataFrame, dataset: str, label: str, columns: list[str]) -> DataFrame:
