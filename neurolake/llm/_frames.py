@@ -25,12 +25,18 @@ def ready(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None and not sc.master.startswith("local"):
+        if where is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="neurolake-checkpoints-"))
     return spark
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark keeps it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def trim() -> None:
     """Hands freed memory of this worker back; a worker lives on for tasks of other stages."""
     pa.default_memory_pool().release_unused()

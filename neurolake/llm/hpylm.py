@@ -438,7 +438,8 @@ def _hot_contexts(rows: DataFrame, total: int, n: int) -> np.ndarray:
         for batch in batches:
             for _, _, buf, offsets in _text.chunks(batch.column(0)):
                 w, _ = tokens(buf, offsets)
-                u, c = np.unique(w[w != _END], return_counts=True)
+                # every row's end stands for its beginning, the context of its first word
+                u, c = np.unique(np.where(w == _END, _BEGIN, w), return_counts=True)
                 top = np.argsort(-c, kind="stable")[:most]
                 yield pa.RecordBatch.from_arrays([pa.array(u[top].view(np.int64)), pa.array(c[top]), pa.array(np.where(np.arange(len(top)) == 0, len(w), 0))], names=["u", "c", "all"])
 
