@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,8 +13,17 @@ from pyspark.sql import functions as F
 STAGES = {"signup": "AWAKE", "view": "N1", "click": "N2", "purchase": "N3", "error": "REM"}
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where it isn't installed."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def read_features_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
