@@ -110,7 +110,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: in
 
     Null and empty texts have no words. Items without words have no windows; an item without an id counts under a null id,
     and rows that repeat an id are one item. A text of any length is scanned whole. The benchmark is broadcast in blocks of
-    items of at most block_bytes (an item alone may be longer); each block is a pass that adds to the row, without a shuffle.
+    items of at most about block_bytes (an item alone may be longer); each block is a pass that adds to the row, without a shuffle.
+    Of several blocks one at a time is held by the workers, and the rows are written in between.
     """
     spark = _frames.ready(docs.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
@@ -127,6 +128,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: in
             return {"n_words": pa.array(n_words, pa.int32()), "hit_spans": pa.array(spans, pa.list_(pa.int32())), "hit_items": pa.array(items, pa.list_(pa.string())), "n_hit": pa.array(_count(_frames.text_column(batch), spans), pa.int32())}
 
         out = _frames.add_columns(out, [("n_words", "int"), ("hit_spans", "array<int>"), ("hit_items", "array<string>"), ("n_hit", "int")], add)
+        if n_blocks > 1:
+            # one block at a time is broadcast
+            out = _frames.cut(out)
+            shared.destroy()
     return out
 
 
