@@ -373,3 +373,11 @@ def test_pipeline(spark):
     seen = Counter(r["text"] for r in once.collect())
     assert set(seen) <= set(docs.values()) and max(seen.values()) == 1 and once.columns == corpus_pipeline.COLUMNS
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_written_shards_hold_every_row(spark, texts, tmp_path):
+    docs = table(spark, [*texts, texts[0]], [*range(len(texts)), 0])
+    sharding.write_shards(docs, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=str) == sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+    assert {r["shard"] for r in back.select("shard").distinct().collect()} <= set(range(4))
