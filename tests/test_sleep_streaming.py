@@ -62,3 +62,17 @@ def test_markov_stream(spark, tmp_path):
     q.stop()
     want = {(r["k"], r["state"]) for r in classifiers.markov_decode(df, ["rec"], "k", states, classifiers.persistent_matrix()).collect()}
     assert {(r["k"], r["state"]) for r in spark.table("states").collect()} == want
+
+
+def test_running_scores_of_a_stream(spark, tmp_path):
+    from neurolake.streaming import features as streaming
+
+    for k in range(3):
+        spark.createDataFrame([(float(v + 10 * k),) for v in range(4)], "v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = []
+    source = spark.readStream.schema("v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    writer = streaming.running_zscore(source, ["v"], lambda df, n: got.append([r["v"] for r in df.collect()]))
+    query = writer.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination(60)
+    assert query.exception() is None and len(got) == 3 and all(len(g) == 4 for g in got)
+    assert abs(sum(got[0])) < 1e-9 and not abs(sum(got[1])) < 1e-9
