@@ -324,11 +324,10 @@ def _(s, d):
 
 @query("pair_structure")
 def _(s, d):
-    # fitted on the first rows of each class by rec: the model holds all differences of what it is fitted on
-    df, cols = wide(s, d)
-    first = df.withColumn("_n", F.row_number().over(W.partitionBy("label").orderBy("rec"))).where("_n <= 20")
-    groups = df.withColumn("recording", F.floor(F.col("rec") / 50))
-    return training.PairStructure(cols[:2], "label").fit(first).scores(groups, ["recording"], "rec")
+    # the model holds all differences of its rows, so they are one for each nation, over all its customers
+    each = tables.read(s, d, "customer").groupBy("c_nationkey").agg((F.avg("c_acctbal") / 1000).alias("x0"), F.log(F.count("*")).alias("x1"))
+    df = tables.read(s, d, "nation").join(each, F.col("n_nationkey") == F.col("c_nationkey")).dropna(subset=["x0"]).select(F.col("n_nationkey").alias("rec"), F.col("n_regionkey").alias("label"), F.lit(0).alias("recording"), "x0", "x1")
+    return training.PairStructure(["x0", "x1"], "label").fit(df).scores(df, ["recording"], "rec")
 
 
 @query("stimulation_models")
