@@ -28,7 +28,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles of a Jaccard similarity of 0.8."""
+    """One document of each group of near copies: candidates by SimHash, as of op6, and by MinHash, compared by 5-word shingles of a Jaccard similarity of 0.8."""
     return simhash.drop_set_duplicates(docs).select(*COLUMNS)
 
 

@@ -82,12 +82,26 @@ def _shingle_sets(texts: pa.Array, size: int, seed: int) -> Iterator[tuple[np.nd
         yield _minhash.distinct(_text.xxh64(norm, starts, ends, seed), first)
 
 
+def _print_edges(signed: DataFrame, radius: int = 3) -> DataFrame:
+    """(a long, b long) of (node long, fp long): every node is linked to the least of those whose fingerprints are in one component of links of at most radius bits."""
+    each = signed.distinct()
+    links = _frames.cut(_links.hamming_links(each.select("fp"), radius))
+    named = each.select("node", F.col("fp").alias("root"))
+    if not links.isEmpty():
+        comp = _links.components(links)
+        named = each.join(comp, each.fp == comp.node, "left").select(each.node, F.coalesce("component", "fp").alias("root"))
+    named = _frames.cut(named)
+    heads = named.groupBy("root").agg(F.min("node").alias("b"), F.max("node").alias("_top")).where("b <> _top").select("root", "b")
+    return named.join(heads, "root").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def set_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
     """(doc_id, component_id): a row per row of docs; component_id is the smallest doc_id reachable over pairs whose sets of word
     shingles have a Jaccard similarity of at least so much.
 
-    Candidates come from MinHash bands, and every candidate group is then compared by its whole sets. Texts without words have the
-    same, empty set. Rows without doc_id belong to their component as in near_duplicates().
+    Candidates are texts whose SimHashes hang together as in near_duplicates() and, for the many pairs that those miss, texts that
+    share a MinHash band; every candidate group is then compared by its whole sets. Texts without words have the same, empty set.
+    Rows without doc_id belong to their component as in near_duplicates().
     """
 
     def sign(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -95,11 +109,11 @@ def set_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, seed: int
         for h, first in _shingle_sets(_text_of(batch), size, seed):
             node.append(_minhash.nodes(h, first))
             keys += [k.tobytes() for k in _minhash.band_keys(h, first)]
-        return {"node": pa.array(np.concatenate(node).view(np.int64)), "keys": pa.array(keys, pa.binary())}
+        return {"fp": pa.array(fingerprints(_text_of(batch)).view(np.int64)), "node": pa.array(np.concatenate(node).view(np.int64)), "keys": pa.array(keys, pa.binary())}
 
-    signed = _frames.cut(_frames.add_columns(docs.select("doc_id", "text"), [("node", "long"), ("keys", "binary")], sign, ["doc_id"]))
+    signed = _frames.cut(_frames.add_columns(docs.select("doc_id", "text"), [("fp", "long"), ("node", "long"), ("keys", "binary")], sign, ["doc_id"]))
     sets = _frames.cut(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
-    edges = _frames.cut(_minhash.candidate_edges(sets))
+    edges = _frames.cut(_print_edges(signed.select("node", "fp")).union(_minhash.candidate_edges(sets)))
     if edges.isEmpty():
         named = sets.select("node", F.col("least").alias("component_id"))
         return signed.join(named, "node").select("doc_id", "component_id")

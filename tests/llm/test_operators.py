@@ -14,7 +14,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from neurolake.llm import _links, _text, bpe, decontaminate, hpylm, licenses, lines, quality, sharding, simhash, spotsigs
+from neurolake.llm import _links, _minhash, _text, bpe, decontaminate, hpylm, licenses, lines, quality, sharding, simhash, spotsigs
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(7)
@@ -108,6 +108,19 @@ def test_near_stage_against_brute_force(spark, texts):
     assert got == set(comp)
 
 
+def test_near_stage_takes_its_candidates_by_simhash(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [prose(rng.randint(60, 100), rng) for _ in range(20)]
+    fp = simhash.fingerprints(pa.array([docs[0]]))[0]
+    words = docs[0].split()
+    tried = (" ".join([*words[:-1], f"x{k}"]) for k in range(2000))
+    near = next(t for t in tried if 0 < int(np.bitwise_count(simhash.fingerprints(pa.array([t]))[0] ^ fp)) <= 3)
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(_minhash, "candidate_edges", lambda sets: none)
+    got = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, table(spark, [*docs, near]), "").collect()}
+    assert got == set(range(20))
+
+
 @pytest.mark.parametrize("radius", [1, 2, 3])
 def test_links_in_dense_runs(radius, monkeypatch):
     rng = np.random.default_rng(radius)
