@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import os
 import tempfile
+import time
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: seconds between two collections of the driver's garbage, and when the last was
+COLLECT_S = 3.0
+_collected = [0.0]
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Make workers find this package and give checkpoints a place; the cluster's spark.checkpoint.dir has precedence."""
     sc = spark.sparkContext
@@ -44,9 +50,26 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn, and trim() once it has ended and its own arrays are gone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trim()
+
+    return run
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, materialised in the shared checkpoint folder; survives lost executors."""
-    ready(df.sparkSession)
+    """The rows, materialised in the shared checkpoint folder; survives lost executors.
+
+    Spark removes the shuffle files, broadcasts and checkpoints of what nobody holds any more, but only once the driver's JVM
+    collects garbage, which a job that leaves the driver idle may never make it do. So it is asked to, every few seconds.
+    """
+    spark = ready(df.sparkSession)
+    if time.monotonic() - _collected[0] > COLLECT_S:
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return df.checkpoint(eager=True)
 
 
@@ -75,12 +98,12 @@ def add_columns(df: DataFrame, fields: list[tuple[str, str]], fn: Callable[[pa.R
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in clash]
     schema = T.StructType([df.schema[c] for c in kept] + list(new.fields))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = fn(batch)
             names = kept + [n for n, _ in fields]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [made[n] for n, _ in fields], names=names)
-        trim()
 
     assert spark is not None
     return df.mapInArrow(run, schema)

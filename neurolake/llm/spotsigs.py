@@ -127,11 +127,13 @@ def likeness_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     spark = _frames.ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @_frames.trimmed
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s, crc = _names(signatures(_frames.text_column(batch)))
             yield pa.RecordBatch.from_arrays([_frames.text_column(batch, "doc_id"), pa.array(s), pa.array(crc)], names=["doc_id", "s", "crc"])
 
+    @_frames.trimmed
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = signatures(_frames.text_column(batch))
@@ -140,6 +142,7 @@ def likeness_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             key, at = _prefixes([sets[i] for i in fresh.tolist()], least)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s[fresh][at])], names=["key", "s"])
 
+    @_frames.trimmed
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _frames.runs(batches, "key"):
             both = np.unique(np.stack([rows.column(c).to_numpy() for c in ("key", "s")]), axis=1)
@@ -155,6 +158,7 @@ def likeness_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     n = wanted.count()
     known = spark.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).combine_chunks().to_numpy()) if n else np.zeros(0, np.int64)) if 8 * n <= BROADCAST_BYTES else None
 
+    @_frames.trimmed
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = signatures(_frames.text_column(batch))
@@ -167,6 +171,7 @@ def likeness_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sets = texts.mapInArrow(load, "s long, crc long, load binary").groupBy("s", "crc").agg(F.first("load").alias("load"))
     dealt = _frames.in_pieces(member, ["least"], "s", F.lit(PIECE)).join(sets, "s").select("deal", "s", "crc", "load").repartition("deal").sortWithinPartitions("deal")
 
+    @_frames.trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _frames.runs(batches, "deal"):
             run, s, crc = (rows.column(c).to_numpy() for c in ("deal", "s", "crc"))
@@ -179,7 +184,6 @@ def likeness_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                 a.append(mine)
                 b.append(root[mine - i])
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(s[k]), pa.array(crc[k])], names=["s", "crc"]) for k in (np.concatenate(a), np.concatenate(b))], names=["a", "b"])
-        _frames.trim()
 
     links = _frames.cut(dealt.mapInArrow(compare, "a struct<s:long,crc:long>, b struct<s:long,crc:long>"))
     each = marks.groupBy("s", "crc").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
@@ -247,6 +251,7 @@ def edit_trial(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     dealt = dealt.repartition(max(_frames.partitions(spark), 1), "k").sortWithinPartitions("k", "tail", "ord", "sha")
     out = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
+    @_frames.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from neurolake.llm import _links, _minhash, _text, bpe, decontaminate, hpylm, licenses, lines, quality, sharding, simhash, spotsigs
+from neurolake.llm import _frames, _links, _minhash, _text, bpe, decontaminate, hpylm, licenses, lines, quality, sharding, simhash, spotsigs
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(7)
@@ -374,6 +375,25 @@ def test_odd_tables(odd, spark):
     assert bpe.decode(bpe.encode(odd)).count() == n
 
 
+def test_what_is_cut_leaves_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(_frames, "COLLECT_S", -1.0, raising=False)
+
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before, kept = held(), []
+    for n in (50_000, 60_000):
+        kept.append(_frames.cut(spark.range(n).repartition(5, "id").selectExpr("id % 977 as k").groupBy("k").count()))
+    for _ in range(20):
+        time.sleep(0.5)
+        _frames.cut(spark.range(3))
+        left = held() - before
+        if not left:
+            break
+    assert not left and [d.count() for d in kept] == [977, 977]
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, sf)
