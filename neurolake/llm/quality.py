@@ -141,11 +141,11 @@ def train(examples: list[tuple[str | None, int]], epochs: int = EPOCHS, bits: in
         f, first, _ = features(buf, offsets, bits)
         for r in range(len(first) - 1):
             at, count = np.unique(f[first[r] : first[r + 1]], return_counts=True)
-            x = SCALE * count / max(1, int(first[r + 1] - first[r]))
-            rows.append((np.append(at, np.int32(1 << bits)), np.append(x, 1.0).astype(np.float32)))
+            # counts are small numbers and held as such
+            rows.append((np.append(at, np.int32(1 << bits)), count.astype(np.min_scalar_type(int(count.max(initial=0)))), max(1, int(first[r + 1] - first[r]))))
     for _ in range(epochs):
-        for (at, x), (_, label) in zip(rows, examples):
-            learner.learn(at, x, label)
+        for (at, count, n_words), (_, label) in zip(rows, examples):
+            learner.learn(at, np.append(SCALE * count.astype(np.int64) / n_words, 1.0).astype(np.float32), label)
     return learner.model()
 
 
@@ -161,12 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> M
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
+    @_frames.trimmed
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(h, d, t, y) for b in batches for h, d, t, y in zip(*(c.to_pylist() for c in b.columns))]
         got.sort(key=lambda r: r[:2])
         model = train([(t, y) for _, _, t, y in got])
-        del got
-        _frames.trim()
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
 
     row = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "label").repartition(1).mapInArrow(learn, "weights binary, bias double").head()
