@@ -271,6 +271,7 @@ class WordBPE:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBPE:
+    _frames.keep("bpe", load.cache_clear)
     return WordBPE(path)
 
 
@@ -288,7 +289,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> Da
         bpe = load(path or vocabulary())
         return {"ids": pa.array([bpe.encode(t or "") for t in _frames.text_column(batch, column).to_pylist()], pa.list_(pa.int32()))}
 
-    return _frames.add_columns(docs, [("ids", "array<int>")], add)
+    return _frames.add_columns(docs, [("ids", "array<int>")], add, keeps="bpe")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -298,7 +299,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         bpe = load(path or vocabulary())
         return {"decoded": pa.array([bpe.decode(i or []) for i in _frames.text_column(batch, "ids").to_pylist()], pa.string())}
 
-    return _frames.add_columns(encoded, [("decoded", "string")], add)
+    return _frames.add_columns(encoded, [("decoded", "string")], add, keeps="bpe")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -309,7 +310,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         got = [bpe.digest(t) for t in _frames.text_column(batch).to_pylist()]
         return {"n_tokens": pa.array([g[0] for g in got], pa.int64()), "ids_sha256": pa.array([g[1] for g in got], pa.string()), "decoded_sha256": pa.array([g[2] for g in got], pa.string())}
 
-    return _frames.add_columns(docs.select("doc_id", "text"), [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], add, ["doc_id"])
+    return _frames.add_columns(docs.select("doc_id", "text"), [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], add, ["doc_id"], "bpe")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ THRESHOLD = 0.7
 MAX_TRAIN_DOCS = 12_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.002, 0.02
+#: bytes of texts whose features a fit makes at once
+PORTION = 1 << 18
 #: a text's features are its n-gram counts over its number of words, times this
 SCALE = 24.0
 
@@ -67,13 +70,18 @@ def features(buf: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np
     edge = np.unique(first[:-1])
     edge = edge[edge < m]
     repeats[edge] = 0
+    # the second word of a row has one word before it
+    second = edge + 1
+    second = second[second < m]
+    second = second[~np.isin(second, edge)]
+    repeats[second] = surface[second] == surface[second - 1]
     case = np.where(upper == 0, 0, np.where(upper == 1, 1, np.where(2 * upper > size, 2, 3))).astype(np.uint64)
     form = np.where(word, _text.mix(case * np.uint64(64) + (digits > 0).astype(np.uint64) * np.uint64(32) + np.minimum(size, 16).astype(np.uint64) // np.uint64(4) * np.uint64(2) + repeats + np.uint64(1)), surface * np.uint64(2) + repeats)
 
     def before(h: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros_like(h)
         out[k:] = h[:-k]
-        for j in range(k):
+        for j in reversed(range(k)):  # what is first in a row has the last say
             at = edge + j
             out[at[at < m]] = np.uint64(j + 1)
         return out
@@ -129,26 +137,51 @@ class Ftrl:
         self.n[at] = n + g * g
 
     def model(self) -> Model:
-        w = self.weights(np.arange(len(self.z)))
-        return Model(w[:-1].astype(np.float32), float(w[-1]), self.bits)
+        n = len(self.z) - 1
+        w = np.empty(n, np.float32)
+        for k in range(0, n, 1 << 16):
+            w[k : k + (1 << 16)] = self.weights(np.arange(k, min(k + (1 << 16), n)))
+        return Model(w, float(self.weights(np.array([n]))[0]), self.bits)
 
 
-def train(examples: list[tuple[str | None, int]], epochs: int = EPOCHS, bits: int = BITS) -> Model:
-    """Fits in the order given; every text whole."""
+def train(examples: Iterable[tuple[str | None, int]], epochs: int = EPOCHS, bits: int = BITS) -> Model:
+    """Fits in the order given; every text whole. Features wait in a file without a name, which each epoch reads, and not in memory."""
     learner = Ftrl(bits)
-    rows = []
-    for _, _, buf, offsets in _text.chunks(pa.array([t for t, _ in examples], pa.string())):
-        f, first, _ = features(buf, offsets, bits)
-        for r in range(len(first) - 1):
-            at, count = np.unique(f[first[r] : first[r + 1]], return_counts=True)
-            # counts are small numbers and held as such
-            rows.append((np.append(at, np.int32(1 << bits)), count.astype(np.min_scalar_type(int(count.max(initial=0)))), max(1, int(first[r + 1] - first[r]))))
-    for _ in range(epochs):
-        for (at, count, n_words), (_, label) in zip(rows, examples):
-            learner.learn(at, np.append(SCALE * count.astype(np.int64) / n_words, 1.0).astype(np.float32), label)
+    rows: list[tuple[int, np.dtype, int, int]] = []
+    with tempfile.TemporaryFile() as file:
+        for some in _portions(examples):
+            label = iter([y for _, y in some])
+            for _, _, buf, offsets in _text.chunks(pa.array([t for t, _ in some], pa.string()), PORTION):
+                f, first, _ = features(buf, offsets, bits)
+                for r in range(len(first) - 1):
+                    at, count = np.unique(f[first[r] : first[r + 1]], return_counts=True)
+                    # counts are small numbers and written as such
+                    count = count.astype(np.min_scalar_type(int(count.max(initial=0))))
+                    file.write(at.tobytes())
+                    file.write(count.tobytes())
+                    rows.append((len(at), count.dtype, max(1, int(first[r + 1] - first[r])), next(label)))
+        for _ in range(epochs):
+            file.seek(0)
+            for n, kind, n_words, y in rows:
+                at, count = np.frombuffer(file.read(4 * n), np.int32), np.frombuffer(file.read(kind.itemsize * n), kind)
+                learner.learn(np.append(at, np.int32(1 << bits)), np.append(SCALE * count.astype(np.int64) / n_words, 1.0).astype(np.float32), y)
     return learner.model()
 
 
+def _portions(examples: Iterable[tuple[str | None, int]]) -> Iterator[list[tuple[str | None, int]]]:
+    """Runs of examples of about PORTION letters."""
+    held: list[tuple[str | None, int]] = []
+    size = 0
+    for text, label in examples:
+        held.append((text, label))
+        size += len(text or "")
+        if size >= PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
     """Learns labels.quality from at most max_docs labelled documents whose crc32(doc_id as text) mod 4 is not 2.
 
@@ -163,12 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> M
 
     @_frames.trimmed
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(h, d, t, y) for b in batches for h, d, t, y in zip(*(c.to_pylist() for c in b.columns))]
-        got.sort(key=lambda r: r[:2])
-        model = train([(t, y) for _, _, t, y in got])
+        model = train((t, y) for b in batches for k in range(0, b.num_rows, 256) for t, y in zip(*(c.to_pylist() for c in b.slice(k, 256).columns)))
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
 
-    row = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "label").repartition(1).mapInArrow(learn, "weights binary, bias double").head()
+    inorder = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "label")
+    row = inorder.mapInArrow(learn, "weights binary, bias double").head()
     if row is None:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
     assert spark is not None

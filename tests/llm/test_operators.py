@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from neurolake.llm import _links, _minhash, _text, bpe, decontaminate, hpylm, licenses, lines, quality, sharding, simhash, spotsigs
+from neurolake.llm import _frames, _links, _minhash, _text, bpe, decontaminate, hpylm, licenses, lines, quality, sharding, simhash, spotsigs
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(7)
@@ -259,6 +260,39 @@ def test_quality_held_out(spark):
     assert all(s == 0.5 for s in (r["score"] for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()))
 
 
+def test_quality_features_of_a_row_are_its_own():
+    rows = ["one two a", "b a c", "a", "a a", "", "c"]
+    alone = [quality.features(*next(_text.chunks(pa.array([t])))[2:])[0] for t in rows]
+    f, first, _ = quality.features(*next(_text.chunks(pa.array(rows)))[2:])
+    assert all(np.array_equal(f[first[r] : first[r + 1]], alone[r]) for r in range(len(rows)))
+
+
+def test_quality_training_holds_no_features():
+    rng = np.random.default_rng(3)
+    examples = [(" ".join(f"w{x}" for x in rng.integers(0, 1 << 20, 300)), k % 2) for k in range(2400)]
+    quality.train(examples[:1], 1)
+    tracemalloc.start()
+    peaks = []
+    for n in (600, 2400):
+        tracemalloc.reset_peak()
+        quality.train(examples[:n], 1)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    # the features of 1,800 texts more would take about 6 MB
+    assert peaks[1] - peaks[0] < 2 << 20
+
+
+def test_worker_lets_go_of_what_other_operators_kept():
+    bpe.load(bpe.vocabulary())
+    list(_frames.trimmed(iter, "bpe")([]))
+    assert bpe.load.cache_info().currsize
+    list(_frames.trimmed(iter)([]))
+    assert not bpe.load.cache_info().currsize
+    bpe.load(bpe.vocabulary())
+    _frames.release("quality")
+    assert not bpe.load.cache_info().currsize
+
+
 def test_hpylm_spread_contexts_get_the_tables_told_by_others():
     load = lambda b, contexts, tables: [np.array([b]), *(np.array([5 + b, 9], t) for t in (np.uint64, np.uint32, np.uint32)), np.array(contexts, np.uint64), np.array(tables) * 2, np.array(tables)]
     x = hpylm.Parent([load(0, [3, 8], [4, 1]), load(1, [8, 3, 11], [7, 2, 5])], 0, 2, 1)
