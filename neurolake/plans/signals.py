@@ -302,9 +302,14 @@ def trials(s, d):
     return tables.explode_epochs(ep(s, d)).select(F.col("label").alias("session"), F.col("rec").alias("trial"), "i", F.col("x").alias("v"))
 
 
+def whole_trials(s, d):
+    """trials() with a row for each trial."""
+    return ep(s, d).select(F.col("label").alias("session"), F.col("rec").alias("trial"), F.col("x").alias("v"))
+
+
 @query("crp_projections", f"WITH {EMB}, {TR}, {PJ} SELECT session, a, b, round(s, 7) AS s FROM pj")
 def _(s, d):
-    return rounded(evoked.projections(trials(s, d)), "s", digits=7)
+    return rounded(evoked.projections(whole_trials(s, d)), "s", digits=7)
 
 
 _PROFILE = """pf AS (SELECT session, length, avg(s) AS mean, var_pop(s) AS var FROM (
@@ -314,32 +319,32 @@ _PROFILE = """pf AS (SELECT session, length, avg(s) AS mean, var_pop(s) AS var F
 
 @query("crp_profile", f"WITH {EMB}, {TR}, {_PROFILE} SELECT session, CAST(length AS BIGINT) AS length, round(mean, 7) AS mean, round(var, 8) AS var FROM pf")
 def _(s, d):
-    return rounded(rounded(evoked.profile(trials(s, d), FS, 64), "mean", digits=7), "var", digits=8)
+    return rounded(rounded(evoked.profile(whole_trials(s, d), FS, 64), "mean", digits=7), "var", digits=8)
 
 
 @query("crp_duration", f"WITH {EMB}, {TR}, {_PROFILE} SELECT session, CAST(arg_min(length, (-round(mean, 9), length)) AS BIGINT) AS length FROM pf GROUP BY session")
 def _(s, d):
-    return evoked.duration(evoked.profile(trials(s, d), FS, 64))
+    return evoked.duration(evoked.profile(whole_trials(s, d), FS, 64))
 
 
 @query("crp_pair_selection", f"WITH {EMB}, {TR}, {PJ}, {SEL} SELECT session, a, b, round(s, 7) AS s FROM sl")
 def _(s, d):
-    return rounded(evoked.select_pairs(evoked.projections(trials(s, d))), "s", digits=7)
+    return rounded(evoked.select_pairs(whole_trials(s, d)), "s", digits=7)
 
 
 @query("crp_trial_stat", f"WITH {EMB}, {TR}, {PJ}, {SEL}, {ST} SELECT session, trial, round(stat, 7) AS stat FROM st")
 def _(s, d):
-    return rounded(evoked.trial_statistic(evoked.select_pairs(evoked.projections(trials(s, d)))), "stat", digits=7)
+    return rounded(evoked.trial_statistic(whole_trials(s, d)), "stat", digits=7)
 
 
 @query("crp_reject", f"WITH {EMB}, {TR}, {PJ}, {SEL}, {ST}, md AS (SELECT session, median(stat) AS m, stddev_pop(stat) AS sd, count(*) AS n FROM st GROUP BY session), mad AS (SELECT session, 1.4826 * median(abs(stat - m)) AS d FROM st JOIN md USING (session) GROUP BY session) SELECT session, trial, round(stat, 7) AS stat, n >= 3 AND abs(stat - m) > 2 * CASE WHEN d > 0 THEN d ELSE sd END AS rejected FROM st JOIN md USING (session) JOIN mad USING (session)")
 def _(s, d):
-    return rounded(evoked.reject(evoked.trial_statistic(evoked.select_pairs(evoked.projections(trials(s, d)))), 2.0), "stat", digits=7)
+    return rounded(evoked.reject(evoked.trial_statistic(whole_trials(s, d)), 2.0), "stat", digits=7)
 
 
 @query("crp_full")
 def _(s, d):
-    return evoked.crp(trials(s, d), FS)
+    return evoked.crp(whole_trials(s, d), FS)
 
 
 @query("crp_traces", f"WITH {EMB}, {TR} SELECT session, i, round(avg(v), 7) AS average, round(stddev_pop(v), 7) AS deviation FROM tr GROUP BY session, i")
@@ -349,7 +354,7 @@ def _(s, d):
 
 @query("crp_responses")
 def _(s, d):
-    return evoked.responses(trials(s, d), FS)
+    return evoked.responses(whole_trials(s, d), FS)
 
 
 @query("spectral_prefiltered")
