@@ -43,3 +43,11 @@ def test_parameterisation_holds_no_pairs(monkeypatch):
             s = pairs(x[:k])
             one = [s[a, b] for a in range(k) for b in range(k) if a != b and evoked._stands(a, b, k)]
             assert np.allclose(evoked._selected_sums(x[:k]), (len(one), np.sum(one), np.square(one).sum()))
+
+
+def test_responses_come_in_parts(spark):
+    df, x = sessions(spark, {0: evoked.BLOCK + 90, 1: 5}, 20)
+    got = evoked.responses(df, 50.0).toPandas()
+    for s, v in x.items():
+        g = got[got["session"] == s].sort_values(["trial", "i"])
+        assert len(g) == v.size and np.allclose(g["fitted"] + g["residual"], v.reshape(-1))
