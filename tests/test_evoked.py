@@ -51,3 +51,11 @@ def test_responses_come_in_parts(spark):
     for s, v in x.items():
         g = got[got["session"] == s].sort_values(["trial", "i"])
         assert len(g) == v.size and np.allclose(g["fitted"] + g["residual"], v.reshape(-1))
+
+
+def test_selected_pairs_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(evoked, "SIDE", 3)
+    df, x = sessions(spark, {0: 10, 1: 3, 2: 1, 3: 7})
+    got = {(r["session"], r["a"], r["b"]): r["s"] for r in evoked.select_pairs(df).collect()}
+    want = {(s, a, b): pairs(v)[a, b] for s, v in x.items() for a in range(len(v)) for b in range(len(v)) if a != b and evoked._stands(a, b, len(v))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
