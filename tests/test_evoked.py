@@ -59,3 +59,12 @@ def test_selected_pairs_are_made_once(spark, monkeypatch):
     got = {(r["session"], r["a"], r["b"]): r["s"] for r in evoked.select_pairs(df).collect()}
     want = {(s, a, b): pairs(v)[a, b] for s, v in x.items() for a in range(len(v)) for b in range(len(v)) if a != b and evoked._stands(a, b, len(v))}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_projections_are_made_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(evoked, "SIDE", 4)
+    df, x = sessions(spark, {0: 11, 1: 2, 2: 1})
+    got = evoked.projections(df)
+    rows = {(r["session"], r["a"], r["b"]): r["s"] for r in got.collect()}
+    want = {(s, a, b): pairs(v)[a, b] for s, v in x.items() for a in range(len(v)) for b in range(len(v)) if a != b}
+    assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-12 for k in want)
