@@ -68,3 +68,12 @@ def test_projections_are_made_side_by_side(spark, monkeypatch):
     rows = {(r["session"], r["a"], r["b"]): r["s"] for r in got.collect()}
     want = {(s, a, b): pairs(v)[a, b] for s, v in x.items() for a in range(len(v)) for b in range(len(v)) if a != b}
     assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_statistics_hold_no_pairs():
+    assert held(lambda: evoked._statistic(many(3000))) < 30
+    for k in (2, 3, 4, 7, 8):
+        x = many(k)
+        s = pairs(x)
+        want = [np.mean([s[a, b] for a in range(k) for b in range(k) if a != b and t in (a, b) and evoked._stands(a, b, k)]) for t in range(k)]
+        assert np.allclose(evoked._statistic(x), want)
