@@ -77,3 +77,11 @@ def test_statistics_hold_no_pairs():
         s = pairs(x)
         want = [np.mean([s[a, b] for a in range(k) for b in range(k) if a != b and t in (a, b) and evoked._stands(a, b, k)]) for t in range(k)]
         assert np.allclose(evoked._statistic(x), want)
+
+
+def test_rejection_reads_each_trial_once(spark):
+    df, x = sessions(spark, {0: 9, 1: 2}, 30)
+    far = df.unionByName(spark.createDataFrame([(0, 99, [50.0] * 30)], df.schema))
+    plan = evoked.reject(evoked.trial_statistic(far))
+    assert {r["trial"] for r in plan.collect() if r["rejected"]} == {99}
+    assert "Generate" not in plan._jdf.queryExecution().optimizedPlan().toString()
