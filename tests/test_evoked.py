@@ -85,3 +85,13 @@ def test_rejection_reads_each_trial_once(spark):
     plan = evoked.reject(evoked.trial_statistic(far))
     assert {r["trial"] for r in plan.collect() if r["rejected"]} == {99}
     assert "Generate" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profile_holds_no_pairs():
+    x, lengths = many(3000), np.arange(10, 60, 5)
+    assert held(lambda: evoked._profile(x, 100.0, lengths)) < 30
+    for k in (2, 3, 50):
+        mean, var = evoked._profile(x[:k], 4.0, lengths)
+        for j, m in enumerate(lengths):
+            s = pairs(x[:k, :m])[~np.eye(k, dtype=bool)] / 2
+            assert np.allclose((mean[j], var[j]), (s.mean(), s.var()))
