@@ -95,3 +95,10 @@ def test_profile_holds_no_pairs():
         for j, m in enumerate(lengths):
             s = pairs(x[:k, :m])[~np.eye(k, dtype=bool)] / 2
             assert np.allclose((mean[j], var[j]), (s.mean(), s.var()))
+
+
+def test_durations_of_whole_trials_are_those_of_samples(spark):
+    df, x = sessions(spark, {0: 6, 1: 3}, 40)
+    rows = spark.createDataFrame([(s, t, i + 5, float(v)) for s, x in x.items() for t, y in enumerate(x) for i, v in enumerate(y)], "session int, trial int, i long, v double")
+    a, b = (sorted(map(tuple, evoked.duration(evoked.profile(d, 50.0, 40)).collect())) for d in (df, rows))
+    assert a == b and len(a) == 2
