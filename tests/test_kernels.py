@@ -33,3 +33,15 @@ def test_outliers_of_classes(spark):
     got = {r["id"]: r for r in out.collect()}
     assert got[99]["outlier"] and not got[5]["outlier"] and 100 not in got and got[101]["lof"] is None
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_data_sets_of_more_rows_are_compared(spark):
+    n = 21_000
+    rng = np.random.default_rng(2)
+    y = np.where(rng.random(n) < 0.5, "A", "B")
+    x = rng.normal(size=(n, 1)) + (y == "B")[:, None]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["u"]).assign(y=y, d=np.where(np.arange(n) < n - 300, "p", "q")))
+    got = features.compare_datasets(df, "d", "y", ["u"]).toPandas().set_index(["a", "b", "class"])
+    mine = x[: n - 300]
+    z, k = (x[n - 300 :] - mine.mean()) / mine.std(), (mine - mine.mean()) / mine.std()
+    assert len(got) == 12 and abs(got.loc[("p", "q", "all"), "loglikelihood"] - np.log(np.exp(-0.5 * (z - k.T) ** 2).mean(axis=1) / np.sqrt(2 * np.pi)).mean()) < 1e-9
