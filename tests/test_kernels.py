@@ -45,3 +45,15 @@ def test_data_sets_of_more_rows_are_compared(spark):
     mine = x[: n - 300]
     z, k = (x[n - 300 :] - mine.mean()) / mine.std(), (mine - mine.mean()) / mine.std()
     assert len(got) == 12 and abs(got.loc[("p", "q", "all"), "loglikelihood"] - np.log(np.exp(-0.5 * (z - k.T) ** 2).mean(axis=1) / np.sqrt(2 * np.pi)).mean()) < 1e-9
+
+
+def test_kernel_density_of_more_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20_500, 2))
+    asked = np.array([[0.0, 0.0], [3.0, -4.0], [90.0, 90.0], [5e3, 0.0]])
+    make = lambda x: spark.createDataFrame(pd.DataFrame(x, columns=["u", "v"]).assign(id=range(len(x))))
+    got = features.kde_log_likelihood(make(x), make(asked), ["u", "v"], "id", 0.7).toPandas().sort_values("id")["ll"]
+    e = -0.5 * ((asked[:, None] - x[None]) ** 2).sum(axis=2) / 0.7**2
+    want = e.max(axis=1) + np.log(np.exp(e - e.max(axis=1)[:, None]).mean(axis=1)) - 2 * np.log(0.7) - np.log(2 * np.pi)
+    assert np.allclose(got, want)
+    assert np.allclose(kernels.log_sums(asked, x, 77), kernels.log_sums(asked, x))
