@@ -9,6 +9,7 @@ import pandas as pd
 
 from neurolake.functions import kernels
 from neurolake.operators import features
+from neurolake.plans import catalog
 
 
 def test_nearest_rows_hold_no_pairs(monkeypatch):
@@ -57,3 +58,9 @@ def test_kernel_density_of_more_rows(spark):
     want = e.max(axis=1) + np.log(np.exp(e - e.max(axis=1)[:, None]).mean(axis=1)) - 2 * np.log(0.7) - np.log(2 * np.pi)
     assert np.allclose(got, want)
     assert np.allclose(kernels.log_sums(asked, x, 77), kernels.log_sums(asked, x))
+
+
+def test_compare_datasets_does_every_step(spark):
+    got = catalog.QUERIES["compare_datasets"](spark, "/root/testdata/sf0.001").toPandas()
+    assert set(got.columns) == {"a", "b", "class", "loglikelihood", "auroc", "ap"}
+    assert len(got) == 2 * 2 * 11 and got["auroc"].notna().sum() == 40
