@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from neurolake.functions import kernels, workers
+
 STATES = ["AWAKE", "N1", "N2", "N3", "REM"]
 # The default stage transition matrix, rows and columns in the order of STATES.
 TRANSITIONS = [
@@ -57,7 +62,8 @@ class GaussianBayes:
                 cov[j, k] = cov[k, j] = r[f"c{i}"] or 0.0
             points = None
             if self.kernel:
-                points = np.array([[float(v) for v in x] for x in df.where(F.col(self.label) == r[self.label]).select(*self.columns).collect()], float).reshape(-1, d)
+                t = df.where(F.col(self.label) == r[self.label]).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(self.columns)]).toArrow()
+                points = np.stack([t[f"x{i}"].to_numpy() for i in range(d)], axis=1).reshape(-1, d)
                 cov = cov * r["n"] ** (-2 / (d + 4))
             self.classes[r[self.label]] = (np.array([r[f"m{i}"] for i in range(d)]), np.linalg.pinv(cov), float(np.linalg.slogdet(cov + 1e-12 * np.eye(d))[1]), points)
         return self
@@ -69,37 +75,42 @@ class GaussianBayes:
                 e = -0.5 * np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
                 out.append(np.exp(e - 0.5 * (logdet + x.shape[1] * math.log(2 * math.pi))))
             else:
-                total = np.zeros(len(x))
-                wide = max(1, self.BLOCK // max(len(x), 1))
-                step = max(1, self.BLOCK // wide)
-                for j in range(0, len(points), wide):
-                    p = points[j : j + wide]
-                    for i in range(0, len(x), step):
-                        d = x[i : i + step, None, :] - p[None]
-                        total[i : i + step] += np.exp(-0.5 * np.einsum("ijk,ijk->ij", d @ inverse, d) - 0.5 * (logdet + x.shape[1] * math.log(2 * math.pi))).sum(axis=1)
-                out.append(total / max(len(points), 1))
+                w, v = np.linalg.eigh(inverse)
+                turn = v * np.sqrt(np.maximum(w, 0))
+                total = kernels.sums((x - mean) @ turn, (points - mean) @ turn, self.BLOCK)
+                out.append(total * math.exp(-0.5 * (logdet + x.shape[1] * math.log(2 * math.pi))) / max(len(points), 1))
         return np.stack(out, axis=1)
 
     def scores(self, df: DataFrame, keys: list[str], order: str, bias: dict[str, float] | None = None, smooth: bool = True) -> DataFrame:
         """df's keys and order with a score for each class: likelihoods to one, smoothed over time by a 3-tap gaussian forward and back, weighted, to one again."""
-        kept = df.select(*keys, order, *self.columns)
-        w = np.array([(bias or {}).get(c, 1.0) for c in self.classes])
+        kept = df.select(*keys, order, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(self.columns)])
+        ids, made = [*keys, order], [f"_q{i}" for i in range(len(self.classes))]
+        w = [float((bias or {}).get(c, 1.0)) for c in self.classes]
         g = np.exp(-0.5 * np.array([-1.0, 0.0, 1.0]) ** 2)
-        taps = np.convolve(g / g.sum(), g / g.sum())
-
-        def run(p: pd.DataFrame) -> pd.DataFrame:
-            p = p.sort_values(order)
-            q = self.likelihoods(p[self.columns].to_numpy(float))
-            s = q.sum(axis=1, keepdims=True)
-            q = np.where(s > 0, q / np.where(s > 0, s, 1), 1 / q.shape[1])
-            if smooth:
-                q = np.stack([np.convolve(np.pad(c, 2, mode="edge"), taps, mode="valid") for c in q.T], axis=1)
-            q = q * w
-            q /= q.sum(axis=1, keepdims=True)
-            return pd.concat([p[[*keys, order]].reset_index(drop=True), pd.DataFrame(q, columns=[str(c) for c in self.classes])], axis=1)
-
-        kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in [*keys, order])
-        return kept.groupBy(*keys).applyInPandas(run, kinds + "".join(f", `{c}` double" for c in self.classes))
+        taps = np.convolve(g / g.sum(), g / g.sum()).tolist()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for p in batches:
+                q = self.likelihoods(np.stack([p[f"_x{i}"].to_numpy(zero_copy_only=False) for i in range(len(self.columns))], axis=1))
+                s = q.sum(axis=1, keepdims=True)
+                q = np.where(s > 0, q / np.where(s > 0, s, 1), 1 / q.shape[1])
+                yield pa.RecordBatch.from_arrays([*[p[c] for c in ids], *[pa.array(c) for c in q.T]], names=[*ids, *made])
+
+        if self.kernel:  # each row meets all kernels, so rows are dealt to all cores
+            kept = kept.repartition(workers.tasks(df.sparkSession))
+        kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in ids)
+        got = kept.mapInArrow(run, kinds + "".join(f", {c} double" for c in made))
+        t = W.partitionBy(*keys).orderBy(order)
+
+        def smoothed(c: str) -> Column:
+            near = {0: F.col(c)}
+            for k in (1, 2):
+                near |= {-k: F.coalesce(F.lag(c, k).over(t), near[1 - k]), k: F.coalesce(F.lead(c, k).over(t), near[k - 1])}
+            return sum((near[k] * F.lit(taps[k + 2]) for k in range(-2, 3)), F.lit(0.0))
+
+        weighted = got.select(*ids, *[((smoothed(c) if smooth else F.col(c)) * F.lit(x)).alias(c) for c, x in zip(made, w)])
+        whole = sum((F.col(c) for c in made), F.lit(0.0))
+        return weighted.select(*ids, *[F.try_divide(F.col(c), whole).alias(str(k)) for c, k in zip(made, self.classes)])
 
 
 def markov_step(state: int, q: np.ndarray, t: np.ndarray) -> tuple[int, np.ndarray]:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 
 from neurolake.functions import kernels
-from neurolake.operators import features
+from neurolake.operators import classifiers, features
 from neurolake.plans import catalog
 
 
@@ -64,3 +64,19 @@ def test_compare_datasets_does_every_step(spark):
     got = catalog.QUERIES["compare_datasets"](spark, "/root/testdata/sf0.001").toPandas()
     assert set(got.columns) == {"a", "b", "class", "loglikelihood", "auroc", "ap"}
     assert len(got) == 2 * 2 * 11 and got["auroc"].notna().sum() == 40
+
+
+def test_kernel_scores_are_dealt_to_all_tasks(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(300, 2)), columns=["u", "v"]).assign(y=rng.integers(0, 2, 300), night=np.arange(300) % 2, id=range(300)))
+    m = classifiers.GaussianBayes(["u", "v"], "y", kernel=True).fit(df)
+    out = m.scores(df, ["night"], "id", {0: 2.0})
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    got = out.toPandas().sort_values(["night", "id"])
+    p = df.toPandas().sort_values(["night", "id"])
+    g = np.exp([-0.5, 0.0, -0.5])
+    for night in (0, 1):
+        q = m.likelihoods(p[p["night"] == night][["u", "v"]].to_numpy())
+        q /= q.sum(axis=1, keepdims=True)
+        q = np.stack([np.convolve(np.pad(c, 2, mode="edge"), np.convolve(g / g.sum(), g / g.sum()), mode="valid") for c in q.T], axis=1) * [2.0, 1.0]
+        assert np.allclose(got[got["night"] == night][["0", "1"]], q / q.sum(axis=1, keepdims=True))
