@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from neurolake.operators import features
+from neurolake.operators import features, sleep
 
 
 def test_rows_of_a_class_are_numbered_in_ranges(spark, monkeypatch):
@@ -16,3 +16,18 @@ def test_rows_of_a_class_are_numbered_in_ranges(spark, monkeypatch):
     assert got == want
     text = features.balance(df.where("c is not null"), "c", ["v", "i"])._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(c#" not in text or "_g#" in text.split("row_number() windowspecdefinition(")[1].split(")")[0]
+
+
+def test_night_score_is_one_pass(spark):
+    hour = 3600 * 10**6
+    marks = ["AWAKE", "N1", "N2", "REM", "AWAKE", "N2", "N3", "REM", "N2", "AWAKE", "AWAKE"]
+    rows = [(rec, a, i * hour, (i + 1) * hour, 3600.0) for rec, part in ((1, marks), (2, ["AWAKE", "AWAKE"]), (3, ["N2", "AWAKE"])) for i, a in enumerate(part)]
+    h = spark.createDataFrame(rows, "rec int, annotation string, start_us long, end_us long, duration double")
+    out = sleep.night_score(h, 3600, 1800, 7200, 3600, 10, 1800)
+    m = sleep.merge(h)
+    on, off = sleep.sleep_onset(m, 3600, 1800), sleep.final_awakening(m, 7200, 3600, 10)
+    night = m.join(on, "rec").join(off, "rec").where("start_us >= onset_us and start_us < awakening_us").drop("onset_us", "awakening_us")
+    want = on.join(off, "rec").join(sleep.count_separated(night).withColumnRenamed("n", "rem_cycles"), "rec", "left").join(sleep.awakenings(night).withColumnRenamed("n", "awakenings"), "rec", "left")
+    want = want.join(sleep.rem_latency(night, on), "rec", "left").join(sleep.stage_times(night, ["AWAKE", "N1", "N2", "N3", "REM"]), "rec", "left")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.select(out.columns).collect()))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
