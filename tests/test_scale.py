@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from neurolake.functions import dsp
+from neurolake.functions import dsp, workers
 from neurolake.operators import features, sleep, spikes
 
 
@@ -54,3 +56,42 @@ def test_channels_of_one_length_are_filtered_in_step(spark):
         i = i.astype(int)
         at = np.arange(i.min(), i.max() + 1)
         assert (g["i"] == at).all() and (g["w"] == dsp.filtfilt(*low, dsp.filtfilt(*high, np.interp(at, i, v.astype(float))))).all()
+
+
+def test_groups_are_whole_in_every_piece(spark):
+    class Frame:
+        """What groups() asks of a frame, without workers: its function is run here on given batches."""
+
+        sparkSession = spark
+
+        def repartition(self, *_):
+            return self
+
+        def sortWithinPartitions(self, *_):
+            return self
+
+        def mapInArrow(self, pieces, schema):
+            return pieces
+
+    keys = [k for k in (None, 0, 1, 2, 3, 4) for _ in range((k or 0) * 30 + 1)]
+    t = pa.table({"k": pa.array(keys, "int32"), "i": pa.array(range(len(keys)), "int64")})
+    for rows in (1, 40, 10**6):
+        for piece in (1, 7, 1000):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(workers, "ROWS", rows)
+                run = lambda t, at: iter([(t["k"][int(a)].as_py(), int(b - a), set(t["k"].to_pylist()[a:b])) for a, b in zip(at, at[1:])])
+                got = list(workers.groups(Frame(), ["k"], "i", run, "")(iter(t.to_batches(piece))))
+            assert got == [(k, (k or 0) * 30 + 1, {k}) for k in (None, 0, 1, 2, 3, 4)]
+
+
+def test_envelope_of_channels_in_step(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(5, 300)) + 8 * (np.abs(np.arange(300) - 150) < 3) * np.sin(np.arange(300))
+    x[3] = 0
+    each = [spikes.envelope_events(r, 200.0, window=0.1, step=0.05, k1=1.0) for r in x]
+    assert spikes.envelope_events(x, 200.0, window=0.1, step=0.05, k1=1.0) == each and not each[3] and any(each)
+    df = spark.createDataFrame([("a", ch, i, float(v)) for ch in range(5) for i, v in enumerate(x[ch])], "rec string, ch int, i long, x double")
+    out = spikes.envelope(df, 200.0, core_s=10.0, window=0.1, step=0.05, k1=1.0)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    got = {(r["ch"], r["pos"]): r["above"] for r in out.collect()}
+    assert got == {(ch, e["pos"]): e["above"] for ch, part in enumerate(each) for e in part}
