@@ -95,3 +95,13 @@ def test_envelope_of_channels_in_step(spark):
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
     got = {(r["ch"], r["pos"]): r["above"] for r in out.collect()}
     assert got == {(ch, e["pos"]): e["above"] for ch, part in enumerate(each) for e in part}
+
+
+def test_discharges_of_many_short_channels(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6, 420)) + 9 * (np.abs(np.arange(420) - 210) < 3) * np.sin(np.arange(420))
+    df = spark.createDataFrame([(0, ch, i, float(v)) for ch in range(6) for i, v in enumerate(x[ch, : 420 - 3 * ch])], "rec int, ch int, i long, x double")
+    e = spikes.envelope(df, 200.0, core_s=10.0, window=0.1, step=0.05, k1=0.6, k2=0.8)
+    got = spikes.discharges(e).toPandas()
+    assert "FlatMapGroupsInPandas" not in e._jdf.queryExecution().toString()
+    assert len(got) and set(got["MV"]) <= {0.5, 1.0} and (abs(got["MP"] - 1.05) < 0.05).any()
